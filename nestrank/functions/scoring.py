@@ -1,7 +1,8 @@
 """The 21 score criteria as Column expressions over staged signal columns.
 
-``operators.signals.stage`` provides the inputs: ``_t`` (lower-cased text), hit arrays
-``_p_<group>`` / ``_n_<group>`` of the profile and ``_c_<name>`` of the fixed lists,
+``operators.signals.stage`` provides the inputs: hit counts
+``_k_p_<group>`` / ``_k_n_<group>`` of the profile, ``_k_c_<name>`` of the fixed lists, the
+hit arrays of the same names without ``_k`` (read by evidence only), rules ``_r_<name>``,
 boolean flags ``_f_<flag>``, ``_light`` and ``_quiet`` (0-100 or NULL), ``_bright``.
 Every criterion yields a score of 0-10 rounded to two digits, evidence and confidence.
 """
@@ -15,23 +16,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nestrank.functions import lexicon as LX
-from nestrank.functions.text import any_term, has_negation, round_half_even
+from nestrank.functions.text import any_term, round_half_even
 from nestrank.sources.profiles import Profile
 
 
 
+# Rules that look for terms outside the groups of a profile.
+RULES = {
+    "nightlife": ("bar", "nightlife"),
+    "low_floor": ("first floor", "ground floor"),
+    "tall": LX.TALL_CEILING_TERMS,
+    "full_time": LX.DOORMAN_FULL_TIME,
+    "part_time": LX.DOORMAN_PART_TIME,
+    "negated": LX.DOORMAN_NEGATIONS,
+    **{name: terms for name, terms in LX.CRITERION_TERMS.items()},
+}
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
 
 def _n(name: str) -> Column:
-    return F.size(_c(name))
+    return F.col(f"_k{name}")
 
 
 def _has(name: str) -> Column:
     return _n(name) > 0
 
 
+def _rule(name: str) -> Column:
+    return F.col(f"_r_{name}")
+
+
 def hit_score(count: Column) -> Column:
     """Four hits are full marks."""
     return F.least(F.lit(10.0), count * F.lit(2.5))
@@ -170,22 +187,22 @@ def location_parts(p: Profile) -> dict[str, Column]:
     """Conditions behind the location adjustment, each a boolean."""
     mods = p.location_modifiers or {}
     conditions = set(mods.get("penalize_conditions") or [])
-    exposed = _c("_f_busy_street") | _has("_bad_streets")
+    exposed = _c("_f_busy_street") | (F.size("_bad_streets") > 0)
     return {
         "nightlife": F.lit("adjacent_to_bar" in conditions)
-        & (_has("_n_location_noise") | any_term(_c("_t"), ("bar", "nightlife"))),
+        & (_has("_n_location_noise") | _rule("nightlife")),
         "thoroughfare": F.lit("on_major_thoroughfare" in conditions) & exposed,
         "first_floor": F.lit("first_floor_busy_street" in conditions)
         & exposed
-        & any_term(_c("_t"), ("first floor", "ground floor")),
+        & _rule("low_floor"),
     }
 
 
 def location_adjustment(p: Profile) -> Column:
     parts = location_parts(p)
     return (
-        _n("_good_streets") * F.lit(1.5)
-        - _n("_bad_streets") * F.lit(1.5)
+        F.size("_good_streets") * F.lit(1.5)
+        - F.size("_bad_streets") * F.lit(1.5)
         - F.when(parts["nightlife"], F.lit(1.5)).otherwise(F.lit(0.0))
         - F.when(parts["thoroughfare"], F.lit(1.5)).otherwise(F.lit(0.0))
         - F.when(parts["first_floor"], F.lit(1.0)).otherwise(F.lit(0.0))
@@ -239,7 +256,7 @@ def indoor_outdoor_flow(p: Profile) -> Column:
 
 def high_ceilings(p: Profile) -> Column:
     return (
-        F.when(any_term(_c("_t"), LX.TALL_CEILING_TERMS), F.lit(9.0))
+        F.when(_rule("tall"), F.lit(9.0))
         .when(_c("_f_high_ceilings"), F.lit(8.0))
         .otherwise(F.lit(0.0))
     )
@@ -265,13 +282,13 @@ def views(p: Profile) -> Column:
 
 
 def in_unit_laundry(p: Profile) -> Column:
-    shared = ~_has("_c_laundry") & any_term(_c("_t"), LX.CRITERION_TERMS["laundry_shared"])
+    shared = ~_has("_c_laundry") & _rule("laundry_shared")
     return F.when(shared, F.lit(4.0)).otherwise(hit_score(_n("_c_laundry")))
 
 
 def parking(p: Profile) -> Column:
     own = F.lower(F.coalesce(_c("parking_type"), F.lit(""))).isin("garage", "carport", "driveway")
-    street = any_term(_c("_t"), LX.CRITERION_TERMS["street_parking"])
+    street = _rule("street_parking")
     return (
         F.when(own, F.lit(9.0)).when(_c("_f_parking"), F.lit(7.0)).when(street, F.lit(4.0)).otherwise(F.lit(0.0))
     )
@@ -346,24 +363,24 @@ def _doorman_hits() -> Column:
 def doorman_concierge(p: Profile) -> Column:
     score = F.greatest(
         F.when(_c("_f_doorman_concierge"), F.lit(8.0)).otherwise(F.lit(0.0)),
-        hit_score(F.size(_doorman_hits())),
+        hit_score(_n("_doorman")),
     )
     return (
-        F.when(has_negation(_c("_t")), F.lit(0.0))
-        .when(any_term(_c("_t"), LX.DOORMAN_FULL_TIME), F.lit(10.0))
-        .when(any_term(_c("_t"), LX.DOORMAN_PART_TIME), F.greatest(score, F.lit(6.0)))
+        F.when(_rule("negated"), F.lit(0.0))
+        .when(_rule("full_time"), F.lit(10.0))
+        .when(_rule("part_time"), F.greatest(score, F.lit(6.0)))
         .otherwise(score)
     )
 
 
 def doorman_concierge_evidence(p: Profile) -> Column:
     return F.when(
-        has_negation(_c("_t")), F.array(F.lit("doorman explicitly excluded"))
+        _rule("negated"), F.array(F.lit("doorman explicitly excluded"))
     ).otherwise(
         F.concat(
             notes(F.when(_c("_f_doorman_concierge"), "doorman flag")),
             mentions(_doorman_hits(), 2),
-            notes(F.when(any_term(_c("_t"), LX.DOORMAN_FULL_TIME), "24h/full-time doorman")),
+            notes(F.when(_rule("full_time"), "24h/full-time doorman")),
         )
     )
 

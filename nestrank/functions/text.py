@@ -1,16 +1,20 @@
 """Text signals as Column algebra.
 
-Keyword tests are substring tests on the lower-cased text.  The terms are a literal
-array walked by one higher-order function per group: on 438 terms that measured
-twice as fast as an OR chain of ``contains`` and three times as fast as one regex
-alternation, and it keeps the generated code small.
+Keyword tests are substring tests on the lower-cased text.  All terms a job needs are
+found in one pass: they form a trie, written as one regular expression inside a
+look-ahead, so every position reports the longest term that starts there.  What was
+found becomes bit masks, so a group test is one AND and a hit count one ``bit_count``.
+For 495 terms the pass measured four times as fast as testing the terms one by one on
+short texts and seven times on long ones, and everything stays in the JVM.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestrank.functions import lexicon as LX
@@ -25,22 +29,169 @@ def terms_array(terms: Sequence[str]) -> Column:
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
-    """True when the (lower-cased) text holds any of the terms."""
+    """True when the text holds any of a few terms; larger sets go through ``scan``."""
     deciding = LX.deciding_terms(terms)
-    if not deciding:
-        return F.lit(False)
-    if len(deciding) <= 3:
-        test = F.contains(text, F.lit(deciding[0]))
-        for term in deciding[1:]:
-            test = test | F.contains(text, F.lit(term))
+    test = F.lit(False)
+    for i, term in enumerate(deciding):
+        found = F.contains(text, F.lit(term))
+        test = found if i == 0 else test | found
+    return test
+
+
+def term_pattern(terms: Sequence[str]) -> str:
+    """Look-ahead that captures the longest of the terms at a position."""
+    trie: dict = {}
+    for term in terms:
+        node = trie
+        for char in term:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def one_of(chars: Sequence[str]) -> str:
+        return "[" + "".join(re.escape(c) for c in chars) + "]"
+
+    def choice(options: list[tuple[str, str]]) -> str:
+        """Alternation; a long one is split by first letter so few branches are tried."""
+        if len(options) <= 3:
+            return "|".join(body for _, body in options)
+        size = -(-len(options) // round(len(options) ** 0.5))
+        parts = [options[i:i + size] for i in range(0, len(options), size)]
+        return "|".join(
+            part[0][1] if len(part) == 1 else f"(?={one_of([c for c, _ in part])})(?:{choice(part)})"
+            for part in parts
+        )
+
+    def pattern(node: dict) -> str:
+        options = [(char, re.escape(char) + pattern(sub)) for char, sub in sorted(node.items()) if char]
+        if not options:
+            return ""
+        if "" in node:
+            return f"(?:{choice(options)})?"
+        return options[0][1] if len(options) == 1 else f"(?:{choice(options)})"
+
+    return f"(?=({pattern(trie)}))"
+
+
+def longest_terms(text: Column, terms: Sequence[str]) -> Column:
+    return F.regexp_extract_all(text, F.lit(term_pattern(terms)), F.lit(1))
+
+
+def nested_terms(terms: Sequence[str]) -> dict[str, list[str]]:
+    """Term -> itself and the terms that are its prefixes: found wherever it is found."""
+    known = set(terms)
+    return {t: [t, *[t[:n] for n in range(1, len(t)) if t[:n] in known]] for t in terms}
+
+
+class TermIndex:
+    """Named term groups, each term of each group one bit of a 64-bit word.
+
+    ``with_words`` adds the word columns; ``any`` and ``count`` read them.
+    """
+
+    BUCKETS = 128
+
+    def __init__(self, groups: Mapping[str, Sequence[str]]):
+        self.slots: dict[str, dict[int, int]] = {}
+        bits: dict[str, dict[int, int]] = {}
+        word, used = 0, 0
+        for name, terms in groups.items():
+            masks: dict[int, int] = {}
+            unique = [t for t in dict.fromkeys(terms) if t]
+            if used and used + min(len(unique), 64) > 64:
+                word, used = word + 1, 0
+            for term in unique:
+                if used == 64:
+                    word, used = word + 1, 0
+                masks[word] = masks.get(word, 0) | 1 << used
+                mine = bits.setdefault(term, {})
+                mine[word] = mine.get(word, 0) | 1 << used
+                used += 1
+            self.slots[name] = masks
+        self.terms = list(bits)
+        self.words = word + 1
+        self.table: dict[str, list[int]] = {}
+        for term, held in nested_terms(self.terms).items():
+            row = [0] * self.words
+            for inner in held:
+                for w, mask in bits[inner].items():
+                    row[w] |= mask
+            self.table[term] = row
+
+    @staticmethod
+    def _signed(mask: int) -> int:
+        return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+    def masks(self, text: Column) -> Column:
+        """Bit masks of the terms found, one array of words per distinct match."""
+        none = F.array().cast("array<array<bigint>>")
+        if not self.terms:
+            return none
+        buckets: list[list[Column]] = [[] for _ in range(self.BUCKETS)]
+        for term, row in self.table.items():
+            cells = F.array(*[F.lit(self._signed(m)).cast("bigint") for m in row])
+            buckets[zlib.crc32(term.encode()) % self.BUCKETS] += [F.lit(term), cells]
+        empty = F.create_map(F.lit(""), F.array(F.lit(0).cast("bigint")))
+        table = F.array(*[F.create_map(*b) if b else empty for b in buckets])
+        found = F.array_distinct(longest_terms(text, self.terms))
+        return F.transform(
+            found,
+            lambda t: F.element_at(F.element_at(table, (F.crc32(t) % self.BUCKETS).cast("int") + 1), t),
+        )
+
+    def word(self, masks: Column, w: int) -> Column:
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(masks, zero, lambda acc, m: acc.bitwiseOR(F.get(m, F.lit(w))))
+
+    def with_words(self, df: DataFrame, text: Column, prefix: str = "_w") -> DataFrame:
+        staged = df.withColumn(f"{prefix}m", self.masks(text))
+        return staged.withColumns(
+            {f"{prefix}{w}": self.word(F.col(f"{prefix}m"), w) for w in range(self.words)}
+        ).drop(f"{prefix}m")
+
+    def names(self, prefix: str = "_w") -> list[str]:
+        return [f"{prefix}{w}" for w in range(self.words)]
+
+    def _parts(self, name: str, word) -> list[Column]:
+        return [
+            word(w).bitwiseAND(F.lit(self._signed(mask)).cast("bigint"))
+            for w, mask in self.slots.get(name, {}).items()
+        ]
+
+    def any(self, name: str, word=None) -> Column:
+        test = F.lit(False)
+        for i, part in enumerate(self._parts(name, word or (lambda w: F.col(f"_w{w}")))):
+            test = part != 0 if i == 0 else test | (part != 0)
         return test
-    return F.exists(terms_array(deciding), lambda k: F.contains(text, k))
+
+    def count(self, name: str, word=None) -> Column:
+        total = F.lit(0)
+        for i, part in enumerate(self._parts(name, word or (lambda w: F.col(f"_w{w}")))):
+            total = F.bit_count(part) if i == 0 else total + F.bit_count(part)
+        return total
+
+
+def scan(text: Column, terms: Sequence[str]) -> Column:
+    """Distinct terms found in the text, in no particular order.
+
+    Terms that start inside one another are all found, because the look-ahead consumes
+    nothing; shorter terms at the same position are the prefixes of the longest one.
+    """
+    unique = [t for t in dict.fromkeys(terms) if t]
+    if not unique:
+        return F.array().cast("array<string>")
+    longest = F.array_distinct(longest_terms(text, unique))
+    nested = {t: inner for t, inner in nested_terms(unique).items() if len(inner) > 1}
+    if not nested:
+        return longest
+    table = F.create_map(*[c for t, inner in nested.items() for c in (F.lit(t), terms_array(inner))])
+    return F.array_distinct(
+        F.flatten(F.transform(longest, lambda t: F.coalesce(F.element_at(table, t), F.array(t))))
+    )
 
 
-def hits(text: Column, terms: Sequence[str]) -> Column:
-    """Terms found in the text, in list order, each once."""
-    unique = list(dict.fromkeys(terms))
-    return F.filter(terms_array(unique), lambda k: F.contains(text, k))
+def found_hits(found: Column, terms: Sequence[str]) -> Column:
+    """The found terms of a list, in list order, each once."""
+    return F.array_intersect(terms_array(list(dict.fromkeys(terms))), found)
 
 
 def round_half_even(col: Column, digits: int) -> Column:
@@ -64,91 +215,81 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(r"\S+"))
 
 
-def flag_columns(text: Column, groups: Mapping[str, Sequence[str]] = LX.FLAG_GROUPS) -> dict[str, Column]:
+# Groups of the flag, quality and light rules, by index name.
+FLAG_RULES = {
+    **LX.FLAG_GROUPS,
+    **LX.DEAL_FLAGS,
+    **{k: LX.RED_FLAG_GROUPS[k] for k in ("north_facing_only", "basement_unit")},
+}
+QUALITY_RULES = {
+    **LX.FLAG_GROUPS,
+    "motivated_seller": LX.MOTIVATED_SELLER,
+    **{f"good_{k}": v for k, v in LX.POSITIVE_GROUPS.items()},
+    **{f"bad_{k}": v for k, v in LX.RED_FLAG_GROUPS.items()},
+}
+LIGHT_RULES = {
+    "light_pos": LX.LIGHT_POSITIVE,
+    "light_neg": LX.LIGHT_NEGATIVE,
+    "top_floor": ("top floor", "penthouse", "top level"),
+    "corner": ("corner unit", "corner apartment"),
+}
+
+
+def flag_columns(index: TermIndex) -> dict[str, Column]:
     """Flag name -> boolean.  The two deal flags are true or NULL, never false."""
-    flags = {name: any_term(text, terms) for name, terms in groups.items()}
-    for name, terms in LX.DEAL_FLAGS.items():
-        flags[name] = F.when(any_term(text, terms), F.lit(True))
-    for name in ("north_facing_only", "basement_unit"):
-        flags[name] = any_term(text, LX.RED_FLAG_GROUPS[name])
+    flags = {name: index.any(name) for name in index.slots}
+    for name in LX.DEAL_FLAGS:
+        if name in flags:
+            flags[name] = F.when(flags[name], F.lit(True))
     return flags
 
 
-def text_quality(
-    text: Column,
-    groups_found: Mapping[str, Column],
-    weights: Mapping[str, float] | None = None,
-) -> Column:
-    """0-100 quality of a text: weighted groups, +2 per sentiment group, -5 per red flag.
-
-    ``groups_found`` holds the boolean of every lexicon group, so flags already
-    computed are reused instead of scanning the text again.
-    """
+def text_quality(text: Column, index: TermIndex, weights: Mapping[str, float] | None = None) -> Column:
+    """0-100 quality of a text: weighted groups, +2 per sentiment group, -5 per red flag."""
     weights = dict(weights) if weights else dict(LX.QUALITY_WEIGHTS)
     score = F.lit(0.0)
-    for name in LX.FLAG_GROUPS:
-        score = score + F.when(groups_found[name], F.lit(float(weights.get(name, 1)))).otherwise(0.0)
-    score = score + F.when(
-        any_term(text, LX.MOTIVATED_SELLER), F.lit(float(weights.get("motivated_seller", 1)))
-    ).otherwise(0.0)
-    for terms in LX.POSITIVE_GROUPS.values():
-        score = score + F.when(any_term(text, terms), F.lit(2.0)).otherwise(0.0)
-    for terms in LX.RED_FLAG_GROUPS.values():
-        score = score - F.when(any_term(text, terms), F.lit(5.0)).otherwise(0.0)
+    for name in QUALITY_RULES:
+        points = 2.0 if name.startswith("good_") else -5.0 if name.startswith("bad_") else float(weights.get(name, 1))
+        score = score + F.when(index.any(name), F.lit(points)).otherwise(F.lit(0.0))
     best = float(sum(weights.values()) + 2 * len(LX.POSITIVE_GROUPS))
     pct = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score / F.lit(best) * F.lit(100.0)))
     return F.when(text == "", F.lit(0.0)).otherwise(pct)
 
 
-def light_score(
-    positive_hits: Column,
-    negative_hits: Column,
-    text: Column,
-    natural_light: Column,
-    north_facing: Column,
-    basement: Column,
-    photo_count: Column,
-) -> Column:
-    """Light potential 0-100 from term hits, flags and the number of photos."""
-    bright, dim = F.size(positive_hits), F.size(negative_hits)
-
+def light_score(index: TermIndex, natural_light: Column, north_facing: Column, basement: Column, photo_count: Column) -> Column:
+    """Light potential 0-100 from the found terms, flags and the number of photos."""
     def bonus(cond: Column, points: int) -> Column:
         return F.when(cond, F.lit(points)).otherwise(F.lit(0))
 
     score = (
         F.lit(50)
-        + F.least(F.lit(25), bright * 5)
-        - F.least(F.lit(30), dim * 10)
+        + F.least(F.lit(25), index.count("light_pos") * 5)
+        - F.least(F.lit(30), index.count("light_neg") * 10)
         + bonus(natural_light, 15)
         + bonus(north_facing, -25)
         + bonus(basement, -30)
-        + bonus(any_term(text, ("top floor", "penthouse", "top level")), 10)
-        + bonus(any_term(text, ("corner unit", "corner apartment")), 8)
+        + bonus(index.any("top_floor"), 10)
+        + bonus(index.any("corner"), 8)
         + F.when(photo_count >= 15, 5).when(photo_count >= 10, 3).otherwise(0)
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int")
 
 
-def light_signals(
-    positive_hits: Column,
-    negative_hits: Column,
-    text: Column,
-    natural_light: Column,
-    north_facing: Column,
-    basement: Column,
-    photo_count: Column,
-) -> Column:
+def light_signals(found: Column, index: TermIndex, natural_light: Column, north_facing: Column, basement: Column, photo_count: Column) -> Column:
     """What moved the light score, first three bright and two dim terms first."""
     named = F.transform(
-        F.concat(F.slice(positive_hits, 1, 3), F.slice(negative_hits, 1, 2)),
+        F.concat(
+            F.slice(found_hits(found, LX.LIGHT_POSITIVE), 1, 3),
+            F.slice(found_hits(found, LX.LIGHT_NEGATIVE), 1, 2),
+        ),
         lambda k: F.concat(F.lit("mentions '"), k, F.lit("'")),
     )
     others = F.array(
         F.when(natural_light, "natural_light_flag: true"),
         F.when(north_facing, "north_facing_only: true"),
         F.when(basement, "basement_unit: true"),
-        F.when(any_term(text, ("top floor", "penthouse", "top level")), "top_floor_unit"),
-        F.when(any_term(text, ("corner unit", "corner apartment")), "corner_unit"),
+        F.when(index.any("top_floor"), "top_floor_unit"),
+        F.when(index.any("corner"), "corner_unit"),
         F.when(photo_count >= 15, "high_photo_count"),
     )
     return F.concat(named, F.filter(others, lambda s: s.isNotNull()))

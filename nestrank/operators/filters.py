@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from nestrank.functions import columns as CO
 from nestrank.functions import geo
 from nestrank.functions import lexicon as LX
-from nestrank.functions.text import any_term
-from nestrank.operators.signals import _complete, _flag, quiet_score, with_text
+from nestrank.functions.text import TermIndex, any_term, let, lowered
+from nestrank.operators.signals import _complete, _flag, quiet_score
 from nestrank.sources.profiles import Profile
 
 
@@ -67,37 +67,69 @@ def hard_failures(p: Profile) -> Column:
     return _reasons(*pairs)
 
 
-def _signal_pairs(df: DataFrame, p: Profile) -> list[tuple[Column, str]]:
-    t = F.col("_t")
-    dark = any_term(t, p.keywords("negative", "dark")) & ~any_term(t, p.keywords("positive", "light"))
-    pairs = [
-        (dark, "dark interior signals"),
+def _gate(p: Profile) -> TermIndex:
+    """The few term groups that can disqualify a listing; usually one word of bits."""
+    rent = p.mode == "rent"
+    return TermIndex(
+        {
+            "dark": p.keywords("negative", "dark"),
+            "light": p.keywords("positive", "light"),
+            "layout": LX.CRITERION_TERMS["layout_bad"],
+            "last": p.keywords("negative", "no_pets") if rent else LX.CRITERION_TERMS["no_parking"],
+        }
+    )
+
+
+def _text_pairs(p: Profile, index: TermIndex, word) -> list[tuple[Column, str]]:
+    return [
+        (index.any("dark", word) & ~index.any("light", word), "dark interior signals"),
+        (index.any("layout", word), "layout red flags"),
+        (index.any("last", word), "no pets allowed" if p.mode == "rent" else "no parking"),
+    ]
+
+
+def _place_pairs(df: DataFrame) -> list[tuple[Column, str]]:
+    return [
         (_flag(df, "busy_street"), "busy street signal"),
-        (F.coalesce(F.col("_quiet_gate") < 40, F.lit(False)), "low tranquility score"),
-        (any_term(t, LX.CRITERION_TERMS["layout_bad"]), "layout red flags"),
+        (F.coalesce(quiet_score(df) < 40, F.lit(False)), "low tranquility score"),
     ]
-    if p.mode != "rent":
-        pairs.append((any_term(t, LX.CRITERION_TERMS["no_parking"]), "no parking"))
-    else:
-        no_pets = _flag(df, "no_pets") | any_term(t, p.keywords("negative", "no_pets"))
-        pairs.append((no_pets, "no pets allowed"))
-    return pairs
 
 
 def with_signal_failures(df: DataFrame, p: Profile, name: str = "signal_failures") -> DataFrame:
+    """Add the reasons a listing's text or place disqualifies it."""
     df = _complete(df)
-    staged = with_text(df, "description").withColumn("_quiet_gate", quiet_score(df))
-    return staged.withColumn(name, _reasons(*_signal_pairs(df, p))).drop("_t", "_quiet_gate")
+    index = _gate(p)
+    (dark, dark_why), (layout, layout_why), (last, last_why) = _text_pairs(p, index, lambda w: F.col(f"_w{w}"))
+    if p.mode == "rent":
+        last = last | _flag(df, "no_pets")
+    (busy, busy_why), (loud, loud_why) = _place_pairs(df)
+    pairs = ((dark, dark_why), (busy, busy_why), (loud, loud_why), (layout, layout_why), (last, last_why))
+    staged = index.with_words(df, lowered(F.col("description")))
+    return staged.withColumn(name, _reasons(*pairs)).drop(*index.names())
 
 
 def signal_filter(df: DataFrame, p: Profile) -> DataFrame:
-    """Drop listings with a disqualifying text or location signal."""
+    """Drop listings with a disqualifying text or location signal.
+
+    Flags and place come first; the text is scanned once for the gate terms only, and
+    ``let`` keeps that one scan from being copied when the filter is pushed down.
+    """
     df = _complete(df)
-    staged = with_text(df, "description").withColumn("_quiet_gate", quiet_score(df))
     keep = F.lit(True)
-    for cond, _ in _signal_pairs(df, p):
+    for cond, _ in _place_pairs(df):
         keep = keep & ~cond
-    return staged.filter(keep).drop("_t", "_quiet_gate")
+    if p.mode == "rent":
+        keep = keep & ~_flag(df, "no_pets")
+
+    index = _gate(p)
+
+    def clean(masks: Column) -> Column:
+        test = F.lit(True)
+        for cond, _ in _text_pairs(p, index, lambda w: index.word(masks, w)):
+            test = test & ~cond
+        return test
+
+    return df.filter(keep & let(index.masks(lowered(F.col("description"))), clean))
 
 
 # Criteria column -> (listing column, which side bounds).  Fixed values.

@@ -19,16 +19,19 @@ def with_text(df: DataFrame, text_col: str, name: str = "_t") -> DataFrame:
     return df.withColumn(name, TX.lowered(F.col(text_col)))
 
 
+def with_found(df: DataFrame, text_col: str, terms: Sequence[str]) -> DataFrame:
+    """Add ``_found``: the given terms that occur in the text."""
+    return df.withColumn("_found", TX.scan(TX.lowered(F.col(text_col)), terms))
+
+
 def extract_flags(df: DataFrame, text_col: str = "description", groups: Mapping[str, Sequence[str]] = LX.FLAG_GROUPS) -> DataFrame:
     """Add one boolean per flag (``flag_<name>``).  An empty text gives no flag at all
     (NULL), and the two deal flags are true or NULL."""
-    staged = with_text(df, text_col)
-    empty = F.col("_t") == ""
-    flags = {
-        f"flag_{name}": F.when(~empty, expr)
-        for name, expr in TX.flag_columns(F.col("_t"), groups).items()
-    }
-    return staged.withColumns(flags).drop("_t")
+    index = TX.TermIndex({**TX.FLAG_RULES, **groups})
+    staged = index.with_words(df, TX.lowered(F.col(text_col)))
+    empty = F.coalesce(F.col(text_col), F.lit("")) == ""
+    flags = {f"flag_{n}": F.when(~empty, expr) for n, expr in TX.flag_columns(index).items()}
+    return staged.withColumns(flags).drop(*index.names())
 
 
 def apply_flags(df: DataFrame) -> DataFrame:
@@ -42,18 +45,27 @@ def apply_flags(df: DataFrame) -> DataFrame:
 
 def keyword_hits(df: DataFrame, text_col: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """Add ``hits_<group>``: terms found, in list order, each once."""
-    staged = with_text(df, text_col)
+    staged = with_found(df, text_col, [t for terms in groups.values() for t in terms])
     return staged.withColumns(
-        {f"hits_{g}": TX.hits(F.col("_t"), terms) for g, terms in groups.items()}
-    ).drop("_t")
+        {f"hits_{g}": TX.found_hits(F.col("_found"), terms) for g, terms in groups.items()}
+    ).drop("_found")
+
+
+def keyword_hit_rows(df: DataFrame, key: str, text_col: str, terms: Sequence[str]) -> DataFrame:
+    """One row per (text, term found); for lexicons of thousands of terms, where one array
+    per group is not wanted.  One pass per text, no text x term pairs."""
+    return with_found(df, text_col, terms).select(key, F.explode("_found").alias("keyword"))
 
 
 def text_signals(df: DataFrame, profile: Profile, text_col: str = "description") -> DataFrame:
     """Add ``positive_hits`` and ``negative_hits`` maps (group -> terms, groups without a
     hit left out).  ``dark`` is dropped when any ``light`` term is there."""
-    staged = with_text(df, text_col)
-    cols = {f"_p_{g}": TX.hits(F.col("_t"), ws) for g, ws in profile.groups("positive").items()}
-    cols |= {f"_n_{g}": TX.hits(F.col("_t"), ws) for g, ws in profile.groups("negative").items()}
+    positive, negative = profile.groups("positive"), profile.groups("negative")
+    terms = [t for groups in (positive, negative) for ws in groups.values() for t in ws]
+    staged = with_found(df, text_col, terms)
+    found = F.col("_found")
+    cols = {f"_p_{g}": TX.found_hits(found, ws) for g, ws in positive.items()}
+    cols |= {f"_n_{g}": TX.found_hits(found, ws) for g, ws in negative.items()}
     staged = staged.withColumns(cols)
 
     def as_map(prefix: str, polarity: str) -> Column:
@@ -67,7 +79,7 @@ def text_signals(df: DataFrame, profile: Profile, text_col: str = "description")
 
     return staged.withColumns(
         {"positive_hits": as_map("_p_", "positive"), "negative_hits": as_map("_n_", "negative")}
-    ).drop("_t", *cols)
+    ).drop("_found", *cols)
 
 
 def is_generic(text: Column, positive_groups: Column) -> Column:
@@ -76,9 +88,10 @@ def is_generic(text: Column, positive_groups: Column) -> Column:
 
 
 def text_quality(df: DataFrame, text_col: str, weights: Mapping[str, float] | None = None, name: str = "text_quality") -> DataFrame:
-    staged = with_text(df, text_col)
-    found = {g: TX.any_term(F.col("_t"), ws) for g, ws in LX.FLAG_GROUPS.items()}
-    return staged.withColumn(name, TX.text_quality(F.col("_t"), found, weights)).drop("_t")
+    index = TX.TermIndex(TX.QUALITY_RULES)
+    staged = index.with_words(df, TX.lowered(F.col(text_col)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return staged.withColumn(name, TX.text_quality(text, index, weights)).drop(*index.names())
 
 
 def _flag(df: DataFrame, flag: str) -> Column:
@@ -89,9 +102,6 @@ def _flag(df: DataFrame, flag: str) -> Column:
 def _light_inputs(df: DataFrame) -> tuple[Column, ...]:
     photos = F.coalesce(F.size("photos"), F.lit(0)) if "photos" in df.columns else F.lit(0)
     return (
-        F.col("_light_pos"),
-        F.col("_light_neg"),
-        F.col("_t"),
         _flag(df, "natural_light"),
         _flag(df, "north_facing_only"),
         _flag(df, "basement_unit"),
@@ -101,21 +111,17 @@ def _light_inputs(df: DataFrame) -> tuple[Column, ...]:
 
 def light_potential(df: DataFrame, text_col: str = "description") -> DataFrame:
     """Add light_potential_score, light_potential_signals and light_potential_confidence."""
-    staged = with_text(df, text_col).withColumns(
-        {
-            "_light_pos": TX.hits(F.col("_t"), LX.LIGHT_POSITIVE),
-            "_light_neg": TX.hits(F.col("_t"), LX.LIGHT_NEGATIVE),
-        }
-    )
     inputs = _light_inputs(df)
-    signals = TX.light_signals(*inputs)
+    index = TX.TermIndex(TX.LIGHT_RULES)
+    staged = index.with_words(with_found(df, text_col, index.terms), TX.lowered(F.col(text_col)))
+    signals = TX.light_signals(F.col("_found"), index, *inputs)
     return staged.withColumns(
         {
-            "light_potential_score": TX.light_score(*inputs),
+            "light_potential_score": TX.light_score(index, *inputs),
             "light_potential_signals": signals,
-            "light_potential_confidence": TX.light_confidence(signals, inputs[4], inputs[5]),
+            "light_potential_confidence": TX.light_confidence(signals, inputs[1], inputs[2]),
         }
-    ).drop("_t", "_light_pos", "_light_neg")
+    ).drop("_found", *index.names())
 
 
 def tranquility(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -167,15 +173,12 @@ def quiet_score(df: DataFrame) -> Column:
     """Cached tranquility, else computed; zero coordinates count as missing (NULL)."""
     lat, lon = F.col("lat"), F.col("lon")
     city = F.when((lat != 0) & (lon != 0), geo.coverage(lat, lon))
-    near = [geo.nearest_in_city(city, lat, lon, layer) for layer in ("street", "freeway", "fire")]
-    computed = F.when(city.isNotNull(), geo.tranquility_points(*near))
+    computed = geo.tranquility_of(city, lat, lon)
     if "tranquility_score" in df.columns:
         return F.coalesce(F.col("tranquility_score"), computed)
     return computed
 
 
-# Criterion term lists that are scanned only where a rule asks for them.
-_INLINE = ("laundry_shared", "street_parking", "no_parking", "layout_bad")
 # Groups the scorer reads even when a profile does not define them.
 _READ_POSITIVE = (
     "light", "outdoor", "outdoor_private", "outdoor_premium", "character", "quality",
@@ -208,21 +211,33 @@ def stage(df: DataFrame, profile: Profile, only: Iterable[str] | None = None) ->
     """
     df = _complete(df)
     mods = profile.location_modifiers or {}
-    staged = with_text(df, "description")
-    t = F.col("_t")
+    positive, negative = profile.groups("positive"), profile.groups("negative")
+    index = TX.TermIndex(
+        {
+            **{f"_p_{g}": ws for g, ws in positive.items()},
+            **{f"_n_{g}": ws for g, ws in negative.items()},
+            **{f"_c_{n}": ws for n, ws in LX.CRITERION_TERMS.items()},
+            **{f"_r_{n}": ws for n, ws in SC.RULES.items()},
+            "_doorman": [t for t in positive.get("amenities", []) if any(d in t for d in LX.DOORMAN_TERMS)],
+            **TX.LIGHT_RULES,
+        }
+    )
+    staged = index.with_words(with_found(df, "description", index.terms), TX.lowered(F.col("description")))
+    found = F.col("_found")
     cols: dict[str, Column] = {}
-    for group in dict.fromkeys((*_READ_POSITIVE, *profile.groups("positive"))):
-        cols[f"_p_{group}"] = TX.hits(t, profile.keywords("positive", group))
-    for group in dict.fromkeys((*_READ_NEGATIVE, *profile.groups("negative"))):
-        cols[f"_n_{group}"] = TX.hits(t, profile.keywords("negative", group))
-    cols["_n_dark"] = F.when(
-        TX.any_term(t, profile.keywords("positive", "light")), SC.no_evidence()
-    ).otherwise(cols["_n_dark"])
-    for name, terms in LX.CRITERION_TERMS.items():
-        if name not in _INLINE:
-            cols[f"_c_{name}"] = TX.hits(t, terms)
-    cols["_light_pos"] = TX.hits(t, LX.LIGHT_POSITIVE)
-    cols["_light_neg"] = TX.hits(t, LX.LIGHT_NEGATIVE)
+    for prefix, wanted, groups in (("_p_", _READ_POSITIVE, positive), ("_n_", _READ_NEGATIVE, negative)):
+        for group in dict.fromkeys((*wanted, *groups)):
+            cols[f"_k{prefix}{group}"] = index.count(f"{prefix}{group}")
+            cols[f"{prefix}{group}"] = TX.found_hits(found, groups.get(group, []))
+    for name, words in LX.CRITERION_TERMS.items():
+        cols[f"_k_c_{name}"] = index.count(f"_c_{name}")
+        cols[f"_c_{name}"] = TX.found_hits(found, words)
+    for name in SC.RULES:
+        cols[f"_r_{name}"] = index.any(f"_r_{name}")
+    cols["_k_doorman"] = index.count("_doorman")
+    lit = index.any("_p_light")
+    cols["_k_n_dark"] = F.when(lit, F.lit(0)).otherwise(cols["_k_n_dark"])
+    cols["_n_dark"] = F.when(lit, SC.no_evidence()).otherwise(cols["_n_dark"])
     cols["_good_streets"] = SC.street_hits(F.col("address"), mods.get("boost_streets"))
     cols["_bad_streets"] = SC.street_hits(F.col("address"), mods.get("penalize_streets"))
     cols["_quiet"] = quiet_score(df)
@@ -234,7 +249,7 @@ def stage(df: DataFrame, profile: Profile, only: Iterable[str] | None = None) ->
         cols["_bright"] = F.lit(None).cast("int")
     staged = staged.withColumns(cols)
 
-    computed = TX.light_score(*_light_inputs(df))
+    computed = TX.light_score(index, *_light_inputs(df))
     light = (
         F.coalesce(F.col("light_potential_score"), computed)
         if "light_potential_score" in df.columns
@@ -242,11 +257,11 @@ def stage(df: DataFrame, profile: Profile, only: Iterable[str] | None = None) ->
     )
     groups = F.lit(0)
     for group in profile.groups("positive"):
-        groups = groups + (F.size(f"_p_{group}") > 0).cast("int")
+        groups = groups + (F.col(f"_k_p_{group}") > 0).cast("int")
     return staged.withColumns(
         {
             "_light": light,
-            "_generic": is_generic(t, groups) if profile.groups("negative").get("flipper") else F.lit(False),
+            "_generic": is_generic(F.coalesce(F.col("description"), F.lit("")), groups) if profile.groups("negative").get("flipper") else F.lit(False),
             "_outdoor": SC.outdoor_raw(profile),
         }
     )
