@@ -251,7 +251,7 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nestrank.operators.changes import detect_changes
 
     changes = detect_changes(observations(spark, sf_dir), OBSERVATION_ORDER)
-    key = F.concat_ws("-", "listing_id", F.unix_timestamp("observed_at"), "line_no", "part_no", "supp_no", "price", "seq")
+    key = F.concat_ws("-", "listing_id", F.unix_timestamp("observed_at"), "line_no", "part_no", "supp_no", F.rint(F.coalesce(F.col("price"), F.lit(0.0)) * 100).cast("bigint"), "seq")
     return changes.select(
         key.alias("event_id"), "listing_id", "event_type", "old_price", "new_price", "old_text", "new_text",
         "amount", "percent", F.col("observed_at").alias("created_at"),
