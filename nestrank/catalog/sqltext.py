@@ -53,7 +53,7 @@ def flag_exprs(t: str) -> dict[str, str]:
 
 LISTINGS = (
     RAW
-    + ", low AS (SELECT *, lower(coalesce(description, '')) AS t FROM raw), fx AS (SELECT *, "
+    + ", low AS MATERIALIZED (SELECT *, lower(coalesce(description, '')) AS t FROM raw), fx AS MATERIALIZED (SELECT *, "
     + ", ".join(f"{e} AS {FLAG_COLUMNS[n]}" for n, e in flag_exprs("t").items())
     + " FROM low)"
 )
@@ -270,10 +270,10 @@ def score_ctes(p: Profile) -> str:
     hoa = "CASE WHEN hoa_fee IS NULL OR hoa_fee <= 800 THEN 0e0 WHEN hoa_fee <= 1000 THEN 5e0 ELSE 10e0 END"
     minus = f" - ({pen})" + (f" - ({hoa})" if p.mode != "rent" else "")
     return (
-        f"WITH {LISTINGS}, {GEO}, sig AS (SELECT fx.*, {', '.join(cols)} FROM fx {GEO_JOIN}), "
-        f"ou AS (SELECT *, {out} AS outdoor FROM sig), "
-        f"sc AS (SELECT *, {', '.join(f'{rnd(e, 2)} AS s_{k}' for k, e in scores.items())} FROM ou), "
-        f"pt AS (SELECT *, greatest(0e0, {total}{minus}) AS points, {pen} AS price_pen, {hoa} AS hoa_pen FROM sc), "
+        f"WITH {LISTINGS}, {GEO}, sig AS MATERIALIZED (SELECT fx.*, {', '.join(cols)} FROM fx {GEO_JOIN}), "
+        f"ou AS MATERIALIZED (SELECT *, {out} AS outdoor FROM sig), "
+        f"sc AS MATERIALIZED (SELECT *, {', '.join(f'{rnd(e, 2)} AS s_{k}' for k, e in scores.items())} FROM ou), "
+        f"pt AS MATERIALIZED (SELECT *, greatest(0e0, {total}{minus}) AS points, {pen} AS price_pen, {hoa} AS hoa_pen FROM sc), "
         f"pts AS (SELECT *, points / {num(p.total_weight)} * 100 AS percent FROM pt)"
     )
 
