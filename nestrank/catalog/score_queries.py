@@ -225,11 +225,12 @@ EVIDENCE = [
 def score_evidence(spark, sf_dir):
     from nestrank.operators.signals import stage
 
-    out = stage(FX.listings(spark, sf_dir), RENTAL).withColumn("fs", R.components(RENTAL))
-    index = {k: i for i, k in enumerate(KEYS)}
+    out = stage(FX.listings(spark, sf_dir), RENTAL)
+    by_key = {c.key: c for c in SC.CRITERIA}
     return out.select(
-        "id", *[joined(F.get("fs", F.lit(index[k])).evidence).alias(f"e_{k}") for k in EVIDENCE],
-        F.get("fs", F.lit(0)).confidence.alias("conf_light"), F.get("fs", F.lit(4)).confidence.alias("conf_quiet"),
+        "id", *[joined(by_key[k].evidence(RENTAL)).alias(f"e_{k}") for k in EVIDENCE],
+        SC.natural_light_confidence(RENTAL).alias("conf_light"),
+        SC.location_quiet_confidence(RENTAL).alias("conf_quiet"),
     )
 
 

@@ -215,7 +215,7 @@ def score_ctes(p: Profile) -> str:
     if "first_floor_busy_street" in conds:
         adj += f" - CASE WHEN {exposed} AND {any_of('t', ('first floor', 'ground floor'))} THEN 1e0 ELSE 0e0 END"
     visual = "nullif(visual_quality_score, 0)"
-    move = f"greatest({h(n['c_move_in'])}, coalesce(least(10e0, {visual} / 10e0), 0e0))"
+    move = f"greatest({h(n['c_move_in'])}, least(10e0, coalesce({visual} / 10e0, 0e0)))"
     move = times(times(move, flipped, "0.8e0"), f"{n['n_condition']} > 0", mult("negative", "condition"))
     bq = (
         f"CASE WHEN has_building_quality_keywords AND {visual} IS NOT NULL THEN (7e0 + {visual} / 10e0) / 2e0 "

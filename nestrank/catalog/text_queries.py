@@ -235,7 +235,7 @@ def search_criteria(spark, sf_dir):
 def nearest_fire_station(spark, sf_dir):
     df = FX.raw_listings(spark, sf_dir)
     lat, lon = F.col("lat"), F.col("lon")
-    near = geo.nearest_in_city(geo.coverage(lat, lon), lat, lon, "fire")
+    near = geo.nearest_in_city(geo.coverage(lat, lon), "lat", "lon", "fire")
     return (
         df.select("id", near.alias("s")).filter(F.col("s").isNotNull())
         .select("id", F.col("s.name").alias("station"), F.round("s.distance_m", 1).alias("distance_m"))

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from nestrank.functions.text import let
+from nestrank.functions.text import let, quoted
 
 EARTH_RADIUS_M = 6371000.0
 
@@ -141,13 +141,13 @@ def layer_segments(city: str, layer: str) -> list[tuple[int, str, float, float,
 
 
 def layer_array(city: str, layer: str) -> Column:
-    names = ("ord", "name", "severity", "lat1", "lon1", "lat2", "lon2")
-    return F.array(
-        *[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)])
-            for row in layer_segments(city, layer)
-        ]
-    )
+    names = ("lat1", "lon1", "lat2", "lon2")
+    rows = [
+        "named_struct('ord', %d, 'name', %s, 'severity', %rD, " % (o, quoted(name), float(severity))
+        + ", ".join(f"'{n}', {v!r}D" for n, v in zip(names, ends)) + ")"
+        for o, name, severity, *ends in layer_segments(city, layer)
+    ]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def coverage(lat: Column, lon: Column) -> Column:
@@ -159,56 +159,64 @@ def coverage(lat: Column, lon: Column) -> Column:
     return chain
 
 
-def _inner(lat: Column, lon: Column, segment: tuple) -> Column:
+def _inner(lat: str, lon: str, segment: tuple) -> str:
     """Haversine term of the distance to one literal segment: grows with the distance."""
     _, _, _, lat1, lon1, lat2, lon2 = segment
     sy, sx = lat2 - lat1, lon2 - lon1
     length_sq = sx * sx + sy * sy
+    to_lat, to_lon = f"{lat1!r}D", f"{lon1!r}D"
     if length_sq:
-        along = F.greatest(
-            F.lit(0.0),
-            F.least(F.lit(1.0), ((lon - lon1) * F.lit(sx) + (lat - lat1) * F.lit(sy)) / F.lit(length_sq)),
+        along = (
+            f"greatest(0D, least(1D, (({lon} - {lon1!r}D) * {sx!r}D + ({lat} - {lat1!r}D) * {sy!r}D) / {length_sq!r}D))"
         )
-        to_lat, to_lon = F.lit(lat1) + along * F.lit(sy), F.lit(lon1) + along * F.lit(sx)
-    else:
-        to_lat, to_lon = F.lit(lat1), F.lit(lon1)
-    half_dlat, half_dlon = F.radians(to_lat - lat) / 2, F.radians(to_lon - lon) / 2
-    return F.sin(half_dlat) * F.sin(half_dlat) + F.cos(F.radians(lat)) * F.cos(F.radians(to_lat)) * (
-        F.sin(half_dlon) * F.sin(half_dlon)
+        to_lat, to_lon = f"({to_lat} + {along} * {sy!r}D)", f"({to_lon} + {along} * {sx!r}D)"
+    half_dlat, half_dlon = f"sin(radians({to_lat} - {lat}) / 2)", f"sin(radians({to_lon} - {lon}) / 2)"
+    return (
+        f"({half_dlat} * {half_dlat} + cos(radians({lat})) * cos(radians({to_lat})) * ({half_dlon} * {half_dlon}))"
     )
 
 
-def _metres(inner: Column) -> Column:
-    return F.lit(EARTH_RADIUS_M) * (F.lit(2.0) * F.atan2(F.sqrt(inner), F.sqrt(F.lit(1.0) - inner)))
-
-
-def _around(lat: Column, lon: Column, segment: tuple, metres: float) -> Column:
+def _around(lat: str, lon: str, segment: tuple, metres: float) -> str:
     """Cheap test that holds for every point within ``metres`` of the segment."""
     _, _, _, lat1, lon1, lat2, lon2 = segment
     dlat = metres / 110_000.0
     dlon = metres / (110_000.0 * math.cos(math.radians(max(abs(lat1), abs(lat2)) + 1.0)))
-    return lat.between(min(lat1, lat2) - dlat, max(lat1, lat2) + dlat) & lon.between(
-        min(lon1, lon2) - dlon, max(lon1, lon2) + dlon
+    return (
+        f"{lat} BETWEEN {min(lat1, lat2) - dlat!r}D AND {max(lat1, lat2) + dlat!r}D AND "
+        f"{lon} BETWEEN {min(lon1, lon2) - dlon!r}D AND {max(lon1, lon2) + dlon!r}D"
     )
 
 
-def nearest(lat: Column, lon: Column, segments: list[tuple], within: float | None = None) -> Column:
-    """Nearest of a literal layer as struct(distance_m, name, severity).
+def _metres(inner: Column) -> Column:
+    return F.lit(EARTH_RADIUS_M) * (F.lit(2.0) * F.atan2(F.sqrt(inner), F.sqrt(F.lit(1.0) - inner)))
 
-    Ties go to the earlier member.  The segments are unrolled into generated code: for
-    layers of this size that is 30 times faster than a lambda over an array.  With
-    ``within`` only members around the point are measured, and a point with none gets NULL.
-    """
+
+def _best_member(lat: str, lon: str, segments: list[tuple], within: float | None) -> str:
     entries = []
     for segment in segments:
-        entry = F.struct(
-            _inner(lat, lon, segment).alias("inner"), F.lit(segment[0]).alias("ord"),
-            F.lit(segment[1]).alias("name"), F.lit(float(segment[2])).alias("severity"),
+        ord_, name, severity = segment[:3]
+        entry = (
+            f"named_struct('inner', {_inner(lat, lon, segment)}, 'ord', {ord_}, 'name', {quoted(name)}, "
+            f"'severity', {float(severity)!r}D)"
         )
-        entries.append(F.when(_around(lat, lon, segment, within), entry) if within else entry)
-    best = F.least(*entries) if len(entries) > 1 else entries[0]
+        entries.append(f"CASE WHEN {_around(lat, lon, segment, within)} THEN {entry} END" if within else entry)
+    return f"least({', '.join(entries)})" if len(entries) > 1 else entries[0]
+
+
+def nearest_in_city(city: Column, lat: str, lon: str, layer: str, within: float | None = None) -> Column:
+    """Nearest member of the layer of the row's city: struct(distance_m, name, severity).
+
+    ``lat`` and ``lon`` name columns.  Ties go to the earlier member.  The segments are
+    unrolled into generated code: for layers of this size that is far faster than a
+    lambda over an array.  With ``within`` only members around the point are measured,
+    and a point with none gets NULL.
+    """
+    chain = None
+    for name in LAYERS:
+        best = F.expr(_best_member(lat, lon, layer_segments(name, layer), within))
+        chain = F.when(city == name, best) if chain is None else chain.when(city == name, best)
     return let(
-        best,
+        chain,
         lambda s: F.when(
             s.isNotNull(),
             F.struct(_metres(s.inner).alias("distance_m"), s["name"].alias("name"), s.severity.alias("severity")),
@@ -216,20 +224,11 @@ def nearest(lat: Column, lon: Column, segments: list[tuple], within: float | Non
     )
 
 
-def nearest_in_city(city: Column, lat: Column, lon: Column, layer: str, within: float | None = None) -> Column:
-    """As ``nearest`` on the layer of the row's city; only that city's branch is evaluated."""
-    chain = None
-    for name in LAYERS:
-        value = nearest(lat, lon, layer_segments(name, layer), within)
-        chain = F.when(city == name, value) if chain is None else chain.when(city == name, value)
-    return chain
-
-
 # No band of the score reaches further than this.
 REACH_M = {"street": 300.0, "freeway": 500.0, "fire": 300.0}
 
 
-def tranquility_of(city: Column, lat: Column, lon: Column) -> Column:
+def tranquility_of(city: Column, lat: str, lon: str) -> Column:
     """Score of a point from the layers within reach; NULL outside coverage.
 
     Beyond the reach a layer costs nothing, so far members need no trigonometry; the

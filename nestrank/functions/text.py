@@ -24,8 +24,16 @@ def lowered(col: Column) -> Column:
     return F.lower(F.coalesce(col, F.lit("")))
 
 
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def terms_array(terms: Sequence[str]) -> Column:
-    return F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    """Literal array; one SQL text is one call to the JVM, not one per term."""
+    if not terms:
+        return F.array().cast("array<string>")
+    return F.expr(f"array({', '.join(quoted(t) for t in terms)})")
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
@@ -126,12 +134,12 @@ class TermIndex:
         none = F.array().cast("array<array<bigint>>")
         if not self.terms:
             return none
-        buckets: list[list[Column]] = [[] for _ in range(self.BUCKETS)]
+        buckets: list[list[str]] = [[] for _ in range(self.BUCKETS)]
         for term, row in self.table.items():
-            cells = F.array(*[F.lit(self._signed(m)).cast("bigint") for m in row])
-            buckets[zlib.crc32(term.encode()) % self.BUCKETS] += [F.lit(term), cells]
-        empty = F.create_map(F.lit(""), F.array(F.lit(0).cast("bigint")))
-        table = F.array(*[F.create_map(*b) if b else empty for b in buckets])
+            cells = ", ".join(f"bigint('{self._signed(m)}')" for m in row)
+            buckets[zlib.crc32(term.encode()) % self.BUCKETS] += [quoted(term), f"array({cells})"]
+        empty = "map('', array(bigint('0')))"
+        table = F.expr(f"array({', '.join('map(' + ', '.join(b) + ')' if b else empty for b in buckets)})")
         found = F.array_distinct(longest_terms(text, self.terms))
         return F.transform(
             found,
@@ -183,7 +191,8 @@ def scan(text: Column, terms: Sequence[str]) -> Column:
     nested = {t: inner for t, inner in nested_terms(unique).items() if len(inner) > 1}
     if not nested:
         return longest
-    table = F.create_map(*[c for t, inner in nested.items() for c in (F.lit(t), terms_array(inner))])
+    cells = ", ".join(f"{quoted(t)}, array({', '.join(map(quoted, inner))})" for t, inner in nested.items())
+    table = F.expr(f"map({cells})")
     return F.array_distinct(
         F.flatten(F.transform(longest, lambda t: F.coalesce(F.element_at(table, t), F.array(t))))
     )

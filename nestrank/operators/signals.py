@@ -132,7 +132,7 @@ def tranquility(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     la, lo = F.col(lat), F.col(lon)
     staged = df.withColumn("_city", geo.coverage(la, lo))
     near = {
-        f"_near_{layer}": geo.nearest_in_city(F.col("_city"), la, lo, layer)
+        f"_near_{layer}": geo.nearest_in_city(F.col("_city"), lat, lon, layer)
         for layer in ("street", "freeway", "fire")
     }
     staged = staged.withColumns(near)
@@ -173,7 +173,7 @@ def quiet_score(df: DataFrame) -> Column:
     """Cached tranquility, else computed; zero coordinates count as missing (NULL)."""
     lat, lon = F.col("lat"), F.col("lon")
     city = F.when((lat != 0) & (lon != 0), geo.coverage(lat, lon))
-    computed = geo.tranquility_of(city, lat, lon)
+    computed = geo.tranquility_of(city, "lat", "lon")
     if "tranquility_score" in df.columns:
         return F.coalesce(F.col("tranquility_score"), computed)
     return computed
