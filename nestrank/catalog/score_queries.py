@@ -328,12 +328,9 @@ def sorted_workspace(spark, sf_dir):
     p = R.with_points(R.candidates(FX.listings(spark, sf_dir), RENTAL), RENTAL)
     from nestrank.operators.signals import quiet_score
 
-    m = p.withColumns(
-        {
-            "match_score": round_half_even(SC.score_pct(F.col("points"), RENTAL.total_weight), 1),
-            "tranquility_score": quiet_score(p),
-        }
-    )
+    m = p.select(
+        *p.columns, R.sealed({"tranquility_score": quiet_score(p)})
+    ).withColumn("match_score", round_half_even(SC.score_pct(F.col("points"), RENTAL.total_weight), 1))
     kept = FL.workspace_filter(m, min_score=15, outdoor_space=True, quiet=True)
     # positions only to compare the orders; the workspace itself sorts and pages
     def place(mode: str, *order):

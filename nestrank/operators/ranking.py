@@ -24,18 +24,25 @@ def score_columns(p: Profile) -> dict[str, Column]:
     return {f"s_{c.key}": c.rounded(p) for c in SC.CRITERIA}
 
 
+def sealed(values: dict[str, Column]) -> Column:
+    """Columns from a one-row ``inline``: a filter on them stays above it.
+
+    Pushed below the projection, a filter on points would carry a copy of the whole
+    score, text scan included, for every column it names.
+    """
+    return F.inline(F.array(F.struct(*[expr.alias(name) for name, expr in values.items()])))
+
+
 def with_scores(df: DataFrame, p: Profile) -> DataFrame:
     """Listing columns plus one score per criterion, total points and percent."""
-    staged = stage(df, p).withColumn("points", SC.total_points(p))
-    staged = staged.withColumns(score_columns(p))
-    kept = [*df.columns, "points", *[f"s_{c.key}" for c in SC.CRITERIA]]
-    return staged.select(*kept).withColumn("percent", SC.score_pct(F.col("points"), p.total_weight))
+    values = {**score_columns(p), "points": SC.total_points(p)}
+    scored = stage(df, p).select(*df.columns, sealed(values))
+    return scored.withColumn("percent", SC.score_pct(F.col("points"), p.total_weight))
 
 
 def with_points(df: DataFrame, p: Profile) -> DataFrame:
     """Listing columns plus total points: what ordering needs and no more."""
-    staged = stage(df, p)
-    return staged.select(*df.columns, SC.total_points(p).alias("points"))
+    return stage(df, p).select(*df.columns, sealed({"points": SC.total_points(p)}))
 
 
 def components(p: Profile, weights: Mapping[str, float] | None = None) -> Column:
