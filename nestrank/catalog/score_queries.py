@@ -152,11 +152,14 @@ LATEST = "le AS (SELECT listing_id, max_by(struct_pack(e := event_type, p := per
     "FROM ex LEFT JOIN latest le ON le.listing_id = ex.id ORDER BY ex.points DESC, ex.id LIMIT 100",
 )
 def rank_matches(spark, sf_dir):
-    top = R.top_points(FX.listings(spark, sf_dir), RENTAL, 100)
-    events = FX.events_of(spark, sf_dir).join(
-        F.broadcast(top.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi"
-    )
-    return _explained(top, RENTAL, events).select(*EX_COLS, r6("points"), "why_now")
+    out = R.rank(FX.listings(spark, sf_dir), RENTAL, 100, events=FX.events_of(spark, sf_dir))
+    return out.withColumns(
+        {
+            "top_positives": joined("top_positives"),
+            "sig_quiet": F.col("signals.tranquility_score"), "sig_light": F.col("signals.light_potential"),
+            "sig_visual": F.col("signals.visual_quality"), "sig_character": F.col("signals.nlp_character_score"),
+        }
+    ).select(*EX_COLS, r6("points"), "why_now")
 
 
 @query(

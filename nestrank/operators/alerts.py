@@ -9,6 +9,7 @@ from nestrank.functions import columns as CO
 from nestrank.operators.joins import new_matches, stale_without_event
 from nestrank.operators.ranking import score_rows, top_points
 from nestrank.functions import scoring as SC
+from nestrank.session import cut_lineage
 from nestrank.sources.profiles import Profile
 
 # --- fixed values: thresholds used when a profile has none -------------------
@@ -169,7 +170,7 @@ def scout_stats(matches: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def run_scouts(scouts: DataFrame, listings: DataFrame, p: Profile, seen: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
     """One run of all given scouts: alerts (capped per scout), statistics, grown seen set."""
-    pool = scout_pool(listings, p)
+    pool = cut_lineage(scout_pool(listings, p))  # 100 rows, read by three results
     matches = scout_matches(scouts, pool)
     fresh = new_matches(matches, seen)
     window = Window.partitionBy("scout_id").orderBy("rank")  # at most 100 rows per scout

@@ -16,6 +16,7 @@ from nestrank.functions.text import round_half_even
 from nestrank.operators import filters as FL
 from nestrank.operators.joins import with_latest
 from nestrank.operators.signals import stage
+from nestrank.session import cut_lineage
 from nestrank.sources.profiles import Profile
 
 
@@ -190,8 +191,12 @@ def top_points(df: DataFrame, p: Profile, limit: int = 100, min_score: float = 0
 
 
 def rank(df: DataFrame, p: Profile, limit: int = 100, min_score: float = 0.0, events: DataFrame | None = None) -> DataFrame:
-    """Ranked and explained matches, best first."""
-    top = top_points(df, p, limit, min_score)
+    """Ranked and explained matches, best first.
+
+    The winners (at most ``limit`` rows) are checkpointed: explaining them and picking
+    their events would otherwise score the whole table once more each.
+    """
+    top = cut_lineage(top_points(df, p, limit, min_score))
     if events is not None:
         # at most ``limit`` rows: the event side is reduced to these listings
         events = events.join(F.broadcast(top.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi")
