@@ -108,7 +108,7 @@ PASSING = f"{S.score_ctes(RENTAL)}, ok AS (SELECT * FROM pts WHERE len({HARD}) =
 
 @query(
     "alerts_routed",
-    f"{PASSING}, {S.EVENTS}, r AS (SELECT event_id, listing_id, CASE event_type WHEN 'new_listing' THEN CASE WHEN ok.percent >= 76 THEN 'immediate' ELSE 'digest' END "
+    f"{PASSING}, {S.EVENTS}, r AS (SELECT event_id, ev.listing_id AS listing_id, CASE event_type WHEN 'new_listing' THEN CASE WHEN ok.percent >= 76 THEN 'immediate' ELSE 'digest' END "
     "WHEN 'price_drop' THEN CASE WHEN ev.percent >= 3 THEN 'immediate' END WHEN 'back_on_market' THEN 'immediate' END AS channel, "
     "CASE event_type WHEN 'new_listing' THEN 'New listing' WHEN 'price_drop' THEN concat('Price drop ', CAST(CAST(round_even(ev.percent, 0) AS BIGINT) AS VARCHAR), '%') ELSE 'Back on market' END AS reason, "
     "round(ok.points, 6) AS points FROM ev JOIN ok ON ok.id = ev.listing_id) SELECT * FROM r WHERE channel IS NOT NULL",

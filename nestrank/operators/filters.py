@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nestrank.functions import columns as CO
 from nestrank.functions import geo
 from nestrank.functions import lexicon as LX
-from nestrank.functions.text import TermIndex, any_term, let, lowered
+from nestrank.functions.text import TermIndex, any_term, let, lowered, sealed
 from nestrank.operators.signals import _complete, _flag, quiet_score
 from nestrank.sources.profiles import Profile
 
@@ -105,7 +105,7 @@ def with_signal_failures(df: DataFrame, p: Profile, name: str = "signal_failures
     (busy, busy_why), (loud, loud_why) = _place_pairs(df)
     pairs = ((dark, dark_why), (busy, busy_why), (loud, loud_why), (layout, layout_why), (last, last_why))
     staged = index.with_words(df, lowered(F.col("description")))
-    return staged.withColumn(name, _reasons(*pairs)).drop(*index.names())
+    return staged.select(*df.columns, sealed({name: _reasons(*pairs)}))
 
 
 def signal_filter(df: DataFrame, p: Profile) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nestrank.functions import columns as CO
 from nestrank.functions import scoring as SC
-from nestrank.functions.text import round_half_even
+from nestrank.functions.text import round_half_even, sealed
 from nestrank.operators import filters as FL
 from nestrank.operators.joins import with_latest
 from nestrank.operators.signals import stage
@@ -25,15 +25,6 @@ def score_columns(p: Profile) -> dict[str, Column]:
     return {f"s_{c.key}": c.rounded(p) for c in SC.CRITERIA}
 
 
-def sealed(values: dict[str, Column]) -> Column:
-    """Columns from a one-row ``inline``: a filter on them stays above it.
-
-    Pushed below the projection, a filter on points would carry a copy of the whole
-    score, text scan included, for every column it names.
-    """
-    return F.inline(F.array(F.struct(*[expr.alias(name) for name, expr in values.items()])))
-
-
 def with_scores(df: DataFrame, p: Profile) -> DataFrame:
     """Listing columns plus one score per criterion, total points and percent."""
     values = {**score_columns(p), "points": SC.total_points(p)}
