@@ -201,7 +201,7 @@ def _tops(spark, sf_dir):
             for i, c in enumerate(R.SC.CRITERIA)
         ]
     )
-    return LE.scored_top(staged.select("id", scores.alias("feature_scores")))
+    return LE.scored_top(staged.select("id", R.sealed({"feature_scores": scores})))
 
 
 @query("weight_deltas", f"{DELTAS} SELECT user_id, criterion, round(delta, 6) AS delta, signal_count FROM d")
