@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("op7_query", "op10_query", "op9_query")
+MODULES = ("op7_query", "op10_query", "op9_query", "op3_query")
 
 
 def all_queries() -> dict[str, Query]:
