@@ -9,9 +9,10 @@ the solver sees:
 * multiplicative weights: each length has a price, its size times a factor that falls
   exponentially with the share of its count covered so far; a knapsack dynamic program prices the
   best configuration, which then takes a step bounded by its scarcest length,
-* rounding: whole multiples are taken while counts last; what is left is placed by the same
-  dynamic program under the remaining counts, largest length first, each configuration as often
-  as the counts allow, so every step uses up a length.
+* rounding: whole multiples of the configurations that fill their sequence are taken while
+  counts last; what is left is placed by the same dynamic program under the remaining counts,
+  largest length first, each configuration as often as the counts allow, so every step uses up
+  a length.
 
 Placing is distributed: a piece's rank among its length is its rank in its task plus the counts
 of the tasks before; the plan (bounded by ``capacity``, not by the table) maps rank intervals to
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nestrank.llm.common import slices, staged, texts
-from nestrank.llm.tokens import WordEncoder
+from nestrank.llm.tokens import encoder as token_encoder
 
 CAPACITY, END = 1024, 2
 STEP, SHARPNESS, MAX_STEPS = 0.5, 4.0, 3000
@@ -114,6 +115,8 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         amounts[config] = amounts.get(config, 0.0) + step
         covered[lengths] += step * uses / need[lengths]
     for config, amount in sorted(amounts.items(), key=lambda x: -x[1]):
+        if capacity - sum(config) > capacity // 1000:  # leaves room that the last step may still use
+            continue
         lengths, uses = np.unique(config, return_counts=True)
         times = min(int(amount), int((left[lengths] // uses).min()))
         if times:
@@ -164,7 +167,7 @@ def pieces(
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = token_encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
-
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000  # about 200 MB a Python worker at most
 
 # Pre-token patterns of the two files; [^\W\d_] and \d are \p{L} and \p{N} there.
-_BYTE = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+# Branches that start with other characters stand first where they are more frequent.
+_BYTE = r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_WORD = r"[^\W\d_]+|\d|'s|'t|'re|'ve|'m|'ll|'d|(?:[^\s\w]|_)+"
 _ODD = re.compile("[\x1c-\x1f\x80-\xbf\xd7\xf7İƀ-\U0010ffff]|<\\|")
 
 
@@ -53,34 +54,48 @@ class WordEncoder:
         return _ODD.search(text) is None
 
     def by_library(self, items: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, dtype="<u4").tobytes()
-            for e in self.library.encode_batch_fast(items, add_special_tokens=False)
-        ]
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        if not new:
-            return
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = words
-        new = list(new)
+        return [_packed(e.ids) for e in self.library.encode_batch_fast(items, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode words that are not known yet."""
         self.known.update(zip(new, self.by_library(new), strict=True))
 
     def encode(self, items: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for low in range(0, len(items), 64):  # few texts at a time bound the lists of words
-            some = items[low : low + 64]
+        for low in range(0, len(items), 128):  # few texts at a time bound the lists of words
+            some = items[low : low + 128]
             odd = [i for i, t in enumerate(some) if not self.plain(t)]
-            found = [self.words(t) for t in some]
+            lists = [self.words(t) for t in some]
             for i in odd:
-                found[i] = []
-            self.learn(set().union(*found))
-            get = self.known.__getitem__
-            done = [b"".join(map(get, words)) for words in found]
+                lists[i] = []
+            wanted = set().union(*lists)
+            new = wanted.difference(self.known)
+            if new and len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = wanted
+            if new:
+                self.learn(list(new))
+            ids_of = self.known.__getitem__
+            done = [b"".join(map(ids_of, words)) for words in lists]
             if odd:
                 for i, ids in zip(odd, self.by_library([some[i] for i in odd]), strict=True):
                     done[i] = ids
             out += done
         return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The process's encoder of a tokenizer file; its table of words serves later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
