@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from nestrank.llm.common import slices, texts
 
 THRESHOLD = 0.7
-MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED = 4_000, 8_000, 4_000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_LABELLED = 3_000, 6_000, 3_000
 MAX_WORDS = 2_000  # distinct words kept of one sampled training text; scoring reads whole texts
 MIN_COUNT, MIN_Z, MAX_FEATURES = 4, 4.0, 2_000
 BEGINNINGS = (4, 5, 6, 7)
@@ -45,8 +45,9 @@ def words_of(text: str) -> set[bytes]:
     return set(text.encode("utf-8").lower().translate(_SPLIT).split())
 
 
-def features_of(words: set[bytes]) -> set[bytes]:
+def features_of(words: set[bytes] | bytes) -> set[bytes]:
     """The words and their beginnings (marked, so that a short word is not its own beginning)."""
+    words = words.split() if isinstance(words, bytes) else words
     found = set(words)
     for size in BEGINNINGS:
         found.update([b"^" + w[:size] for w in words if len(w) > size])
@@ -65,7 +66,7 @@ class Model:
     def raw(self, text: str) -> float:
         return self.raw_words(words_of(text))
 
-    def raw_words(self, words: set[bytes]) -> float:
+    def raw_words(self, words: set[bytes] | bytes) -> float:
         return self.bias + sum(self.weights[f] for f in self.weights.keys() & features_of(words))
 
     def score(self, text: str) -> float:
@@ -74,7 +75,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.raw(text) + self.shift, -60, 60))))
 
 
-def _matrix(bags: list[set[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(bags: list[bytes], index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the ones."""
     rows, cols = [], []
     for i, bag in enumerate(bags):
@@ -84,7 +85,7 @@ def _matrix(bags: list[set[bytes]], index: dict[bytes, int]) -> tuple[np.ndarray
     return np.array(rows, np.int64), np.array(cols, np.int64)
 
 
-def _vocabulary(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> dict[bytes, int]:
+def _vocabulary(positive: list[bytes], unlabelled: list[bytes]) -> dict[bytes, int]:
     """Features that positives hold more often than unlabelled texts do, the clearest ones first."""
     first: dict[bytes, int] = {}
     for bag in positive:
@@ -106,10 +107,10 @@ def _vocabulary(positive: list[set[bytes]], unlabelled: list[set[bytes]]) -> dic
 
 
 def fit(
-    positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float,
+    positive: list[bytes], unlabelled: list[bytes], prior: float,
     epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, batches: int = 8, seed: int = 7,
 ) -> Model:
-    """Minimise the non-negative risk with Adam; bags are the words of each text."""
+    """Minimise the non-negative risk with Adam; a bag is a text's distinct words, joined by spaces."""
     index = _vocabulary(positive, unlabelled)
     if not positive or not index:
         return Model({})
@@ -192,7 +193,7 @@ def train(
     if not share:
         return Model({})
 
-    def bags(rows: DataFrame, most: int) -> list[tuple[int | None, set[bytes]]]:
+    def bags(rows: DataFrame, most: int) -> list[tuple[int | None, bytes]]:
         """The ``most`` rows with the smallest hash of their id; only their words reach the driver."""
         chosen = rows.select(id_col, "_toxic").distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
 
@@ -204,7 +205,7 @@ def train(
 
         picked = allowed_docs.join(chosen, id_col).select("_toxic", "_text")
         kind = picked.schema["_toxic"].dataType.simpleString()
-        return [(r[0], set(bytes(r[1]).split())) for r in picked.mapInArrow(run, f"toxic {kind}, words binary").collect()]
+        return [(r[0], bytes(r[1])) for r in picked.mapInArrow(run, f"toxic {kind}, words binary").collect()]
 
     positive = [b for _, b in bags(known.where("_toxic = 1"), max_positive)]
     unlabelled = [b for _, b in bags(allowed_docs.select(id_col).withColumn("_toxic", F.lit(None).cast("int")), max_unlabelled)]

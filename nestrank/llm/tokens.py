@@ -14,7 +14,7 @@ import re
 import sys
 from array import array
 
-KNOWN_WORDS = 1_000_000  # about 200 MB a Python worker at most
+KNOWN_WORDS = 1_200_000  # about 250 MB a Python worker at most
 
 # Pre-token patterns of the two files; [^\W\d_] and \d are \p{L} and \p{N} there.
 # Branches that start with other characters stand first where they are more frequent.
@@ -30,6 +30,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Table:
+    """Bounded table in two halves: when the young half is full it becomes the old one."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit // 2, {}, {}
+
+    def known(self, keys: set[str]) -> dict[str, bytes]:
+        """Entries of those keys that have one."""
+        have = keys & self.young.keys()
+        found = dict(zip(have, map(self.young.__getitem__, have), strict=True))
+        if self.old and len(found) < len(keys):
+            again = {k: self.old[k] for k in (keys - have) & self.old.keys()}
+            self.add(again)
+            found |= again
+        return found
+
+    def add(self, entries: dict[str, bytes]) -> None:
+        if len(self.young) + len(entries) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(entries)
+
+
 class WordEncoder:
     """Library-exact ids, as little-endian unsigned 32-bit bytes, of lists of texts."""
 
@@ -42,47 +64,42 @@ class WordEncoder:
         self.library.no_padding()
         self.lowers = self.library.normalizer is not None
         self.find = re.compile(_WORD if self.lowers else _BYTE).findall
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens of a plain text (see ``plain``)."""
-        return self.find(text.lower() if self.lowers else text)
+        self.words = _Table(limit)
 
     @staticmethod
     def plain(text: str) -> bool:
         return _ODD.search(text) is None
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """Pre-tokens of a plain text."""
+        return self.find(text.lower() if self.lowers else text)
+
     def by_library(self, items: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.library.encode_batch_fast(items, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Encode words that are not known yet."""
-        self.known.update(zip(new, self.by_library(new), strict=True))
+    def word_ids(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pre-tokens, each list joined."""
+        wanted = set().union(*lists)
+        ids = self.words.known(wanted)
+        new = [w for w in wanted if w not in ids]
+        if new:
+            fresh = dict(zip(new, self.by_library(new), strict=True))
+            self.words.add(fresh)
+            ids |= fresh
+        return [b"".join(map(ids.__getitem__, words)) for words in lists]
 
     def encode(self, items: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for low in range(0, len(items), 128):  # few texts at a time bound the lists of words
-            some = items[low : low + 128]
-            odd = [i for i, t in enumerate(some) if not self.plain(t)]
-            lists = [self.words(t) for t in some]
-            for i in odd:
-                lists[i] = []
-            wanted = set().union(*lists)
-            new = wanted.difference(self.known)
-            if new and len(self.known) + len(new) > self.limit:
-                self.known.clear()
-                new = wanted
-            if new:
-                self.learn(list(new))
-            ids_of = self.known.__getitem__
-            done = [b"".join(map(ids_of, words)) for words in lists]
-            if odd:
-                for i, ids in zip(odd, self.by_library([some[i] for i in odd]), strict=True):
-                    done[i] = ids
-            out += done
+        for low in range(0, len(items), 256):  # few texts at a time keep the lists and their table small
+            out += self._encode(items[low : low + 256])
         return out
 
+    def _encode(self, items: list[str]) -> list[bytes]:
+        plain = [_ODD.search(t) is None for t in items]
+        whole = iter(self.by_library([t for t, p in zip(items, plain, strict=True) if not p]))
+        split = iter(self.word_ids([self.pre_tokens(t) for t, p in zip(items, plain, strict=True) if p]))
+        return [next(split if p else whole) for p in plain]
+
 
 def _packed(ids: list[int]) -> bytes:
     packed = array("I", ids)
