@@ -312,6 +312,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` that stay, with all their columns: the smallest id of each component."""
+    """Rows of ``docs`` that stay, with all their columns: the smallest id of each component.
+
+    Rows that share an id stay or go together. At 80 percent a pair shares no bucket with
+    probability (1 - 0.8^7)^50 < 1e-5.
+    """
     marks = components(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("_keep")).distinct()
     return docs.join(marks, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")

@@ -2,10 +2,11 @@
 
 An Aho-Corasick automaton enumerates every vocabulary piece that ends at each character; dynamic
 programming over the characters carries the best score and the number of pieces of the path that
-has it. No path is stored and no piece is built. Ties follow the tokenizers library's unigram
+has it, so no piece is built. Ties follow the tokenizers library's unigram
 model: candidates of a position are met from the earliest start on and replace only a strictly
 smaller score; a character that no piece of its own covers costs the smallest score less 10;
-neighbouring unknown characters fuse, and with byte fallback they count one piece a byte.
+neighbouring unknown characters fuse, and with byte fallback they count one piece a byte. (Only
+a word that spells out the unknown piece itself is traced back, since it fuses with neighbours.)
 
 Text is split before every space as the library's Metaspace step does, so pieces never cross a
 split and a word's count is kept in a bounded table per process.

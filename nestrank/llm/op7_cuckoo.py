@@ -205,7 +205,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay, with all their columns; one row of each group of equal texts.
 
-    A dropped row is looked up by id, so rows that repeat an id and a text stay once.
+    Rows are found again by id and digest, so an id that repeats with another text does no harm,
+    and a row that repeats as a whole stays once.
     """
-    marks = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(marks, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), upper, lower), 256)
+    marks = exact_dedup(docs, id_col, text_col).where("kept").select(
+        F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")
+    )
+    rows = docs.withColumn("_sha", digest)
+    same = rows[id_col].eqNullSafe(marks["_id"]) & (rows["_sha"] == marks["_digest"])
+    return rows.join(marks.distinct(), same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
