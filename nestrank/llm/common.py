@@ -29,7 +29,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose texts in ``column`` hold about ``limit`` bytes (one row at least)."""
     values = batch.column(column)
     if batch.num_rows == 0:
@@ -95,7 +95,7 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
     )
 
 
-def word_hashes(words: Iterable[bytes], known: dict[bytes, int], limit: int = 400_000) -> np.ndarray:
+def word_hashes(words: Iterable[bytes], known: dict[bytes, int], limit: int = 150_000) -> np.ndarray:
     """64-bit hashes of words; ``known`` is a bounded cache that the caller keeps per task."""
     import xxhash
 

@@ -14,7 +14,7 @@ import re
 import sys
 from array import array
 
-KNOWN_WORDS = 1_200_000  # about 250 MB a Python worker at most
+KNOWN_WORDS = 400_000  # about 80 MB a Python worker at most
 
 # Pre-token patterns of the two files; [^\W\d_] and \d are \p{L} and \p{N} there.
 # Branches that start with other characters stand first where they are more frequent.
