@@ -23,7 +23,6 @@ the tokenizers library as a whole, as one chunk. Only ``id_col`` and ``text_col`
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from nestrank.llm.common import mix64, slices, staged, texts
 from nestrank.llm.tokens import WordEncoder, encoder
 
-WINDOW, MASK_BITS, LEAST = 16, 10, 128
+WINDOW, MASK_BITS, LEAST = 16, 11, 256
 _ODDS = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -81,7 +80,7 @@ def _hash(chunk: str) -> bytes:
 
 def join_chunks(coder: WordEncoder, chunks: list[str], ids: list[bytes]) -> bytes:
     """Ids of the joined text from the ids of its chunks, each join repaired."""
-    find = re.compile(coder.find.__self__.pattern).finditer
+    find = coder.find.__self__.finditer
     out: list[bytes] = []
     held, held_ids = chunks[0], ids[0]  # text whose ids are known, not yet written
     for chunk, chunk_ids in zip(chunks[1:], ids[1:], strict=True):
@@ -108,16 +107,16 @@ def join_chunks(coder: WordEncoder, chunks: list[str], ids: list[bytes]) -> byte
             if settled and at == target and at > 0:
                 agreed = at
                 break
-        tail = coder.word_ids([[held[a:b] for a, b in late]])[0]
+        tail = coder.few_ids([held[a:b] for a, b in late])
         kept = held_ids[: len(held_ids) - len(tail)]
         if agreed is None:
             words = coder.pre_tokens(joined)
             out.append(kept)
-            held, held_ids = joined, coder.word_ids([words])[0]
+            held, held_ids = joined, coder.few_ids(words)
             continue
         words = [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        skipped = coder.word_ids([coder.pre_tokens(chunk[:agreed])])[0]
-        out += [kept, coder.word_ids([words])[0]]
+        skipped = coder.few_ids(coder.pre_tokens(chunk[:agreed]))
+        out += [kept, coder.few_ids(words)]
         held, held_ids = chunk[agreed:], chunk_ids[len(skipped) :]
     out.append(held_ids)
     return b"".join(out)
@@ -197,7 +196,7 @@ def _owned(tokenizer: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "body", 2 << 20)):
             hashes, ids = [], []
             for i, text in _unpacked(batch):
                 whole = _is_whole(text)
@@ -223,16 +222,22 @@ def _widened(packed: bytes) -> bytes:
 def _joined(tokenizer: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "body", 2 << 20)):
             given = batch.column("given").to_pylist()
-            done = []
-            for i, text in _unpacked(batch):
-                whole = _is_whole(text)
-                chunks = _chunks(text, whole)
-                ids = {g["place"]: _widened(g["ids"]) for g in given[i] or ()}
-                alone = [p for p in range(len(chunks)) if p not in ids]
-                ids |= dict(zip(alone, _encode_chunk(coder, [chunks[p] for p in alone], whole), strict=True))
-                done.append(join_chunks(coder, chunks, [ids[p] for p in range(len(chunks))]) if chunks else b"")
+            found = [(text, whole := _is_whole(text), _chunks(text, whole)) for _, text in _unpacked(batch)]
+            ids = [{g["place"]: _widened(g["ids"]) for g in some or ()} for some in given]
+            done: list[bytes] = []
+            for low in range(0, len(found), 128):
+                some = range(low, min(low + 128, len(found)))
+                alone = [(i, p) for i in some if not found[i][1] for p in range(len(found[i][2])) if p not in ids[i]]
+                for (i, p), own in zip(alone, coder.word_ids([coder.pre_tokens(found[i][2][p]) for i, p in alone]), strict=True):
+                    ids[i][p] = own
+                for i in some:
+                    text, whole, chunks = found[i]
+                    if whole and 0 not in ids[i]:
+                        ids[i][0] = coder.by_library([text])[0]
+                    done.append(join_chunks(coder, chunks, [ids[i][p] for p in range(len(chunks))]) if chunks else b"")
+                    ids[i] = {}
             lists = [np.frombuffer(x, "<u4").tolist() for x in done]
             decoded = coder.library.decode_batch(lists, skip_special_tokens=False)
             columns = [

@@ -88,6 +88,13 @@ class WordEncoder:
             ids |= fresh
         return [b"".join(map(ids.__getitem__, words)) for words in lists]
 
+    def few_ids(self, words: list[str]) -> bytes:
+        """Ids of a few pre-tokens, joined."""
+        try:
+            return b"".join(map(self.words.young.__getitem__, words))
+        except KeyError:
+            return self.word_ids([words])[0]
+
     def encode(self, items: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for low in range(0, len(items), 256):  # few texts at a time keep the lists and their table small
