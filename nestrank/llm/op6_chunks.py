@@ -65,9 +65,9 @@ def cuts(raw: bytes) -> list[int]:
 
 
 def _chunks(text: str, whole: bool) -> list[str]:
-    raw = text.encode("utf-8")
-    if whole:
+    if whole or not text:
         return [text] if text else []
+    raw = text.encode("utf-8")
     ends = cuts(raw)
     return [raw[a:b].decode("utf-8") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
