@@ -114,11 +114,12 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         step = STEP * float((need[lengths] / uses).min())
         amounts[config] = amounts.get(config, 0.0) + step
         covered[lengths] += step * uses / need[lengths]
+    over = max(1.0, covered.max())  # scaled so that no length is used more often than it is there
     for config, amount in sorted(amounts.items(), key=lambda x: -x[1]):
         if capacity - sum(config) > capacity // 1000:  # leaves room that the last step may still use
             continue
         lengths, uses = np.unique(config, return_counts=True)
-        times = min(int(amount), int((left[lengths] // uses).min()))
+        times = min(int(amount / over), int((left[lengths] // uses).min()))
         if times:
             plan.append((config, times))
             left[lengths] -= times * uses
