@@ -1,0 +1,427 @@
+"""Operators on small tables: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from nestrank.llm.tokens import WordEncoder, tokenizer_path
+
+BYTE, WORD, PIECE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+LONG = "the quick brown fox jumps over a lazy dog and runs away again " * 400
+ROWS = [
+    (1, None), (2, ""), (3, "   \n\t"), (4, "a b c"), (5, "A b C"), (6, "alpha beta gamma delta epsilon zeta"),
+    (6, "alpha beta gamma delta epsilon zeta"), (7, LONG), (8, LONG + "tail"), (9, "don't  stop\n\nnow é中 😀 <|endoftext|>x"),
+    (None, "no id here at all, none"), (10, "tie one two three four five"), (11, "tie one two three four five"),
+]
+
+
+def documents(spark, rows=ROWS):
+    """Extra columns carry names that the operators use inside."""
+    return spark.createDataFrame(
+        [(i, t, "x", k, 0.5) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key string, n int, score double"
+    )
+
+
+def library(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def shuffled_words(count, seed):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(5000)}" for _ in range(count)]
+
+
+# exact dedup
+
+
+def test_cuckoo_index_inserts_deletes_and_grows():
+    from nestrank.llm.op7_cuckoo import CuckooIndex
+
+    index, keys = CuckooIndex(2), [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    assert all(index.put(k, i) for i, k in enumerate(keys)) and index.resized
+    assert not index.put(keys[5], "again") and index.get(keys[5]) == "again" and index.live == 3000
+    assert all(index.delete(k) for k in keys[::2]) and not index.delete(keys[0])
+    assert all((index.get(k) is None) == (i % 2 == 0) for i, k in enumerate(keys)) and index.live == 1500
+    assert index.get(hashlib.sha256(b"other").digest()) is None
+
+
+def test_exact_dedup(spark):
+    from nestrank.llm.op7_cuckoo import drop_duplicates, exact_dedup
+
+    docs = documents(spark)
+    got = exact_dedup(docs).collect()
+    assert len(got) == len(ROWS)
+    norm = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    groups = collections.defaultdict(list)
+    for i, t in ROWS:
+        groups[hashlib.sha256(norm(t).encode()).hexdigest()].append(i)
+    for r in got:
+        ids = groups[r.text_sha256]
+        assert r.group_size == len(ids) and r.keep_id == max((x for x in ids if x is not None), default=None)
+        assert r.kept == (r.doc_id == r.keep_id)
+    left = drop_duplicates(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 2, 3, 5, 6, 7, 8, 9, 11]
+    assert exact_dedup(documents(spark, [])).count() == 0
+
+
+def test_live_groups_with_deletions(spark):
+    from nestrank.llm.op7_cuckoo import live_groups
+
+    rows = [(1, b"a" * 40, 1), (2, b"a" * 40, 1), (3, b"b" * 40, 1), (3, b"b" * 40, -1), (4, b"c" * 40, 1)]
+    got = live_groups(spark.createDataFrame(rows, "id long, key binary, delta int")).collect()
+    assert sorted((bytes(r.key)[:1], r.group_size) for r in got) == [(b"a", 2), (b"c", 1)]
+
+
+# near dedup
+
+
+def brute_components(rows, percent=85):
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                common = len(sets[a] & sets[b])
+                if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common) and label[a] > label[b]:
+                    label[a], changed = label[b], True
+    return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_near_dedup_against_brute_force(spark):
+    from nestrank.llm.op10_setsketch import components
+
+    rng, rows = random.Random(2), [(i, t) for i, t in ROWS if i is not None and i != 6]
+    base = shuffled_words(120, 1)
+    for i in range(100, 400):  # one large family: many pairs near the threshold, no leader links all
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(120)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    want = brute_components(rows)
+    got = components(documents(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_dedup_edges(spark):
+    from nestrank.llm.op10_setsketch import components, drop_near_duplicates
+
+    docs = documents(spark)
+    got = {r.doc_id: r for r in components(docs).collect()}
+    assert got[1].n_shingles == got[2].n_shingles == got[3].n_shingles == 0
+    assert all(got[i].component_id == i for i in (1, 2, 3)) and got[5].component_id == 4 and got[11].component_id == 10
+    assert got[None].component_id is None and got[None].kept
+    assert drop_near_duplicates(docs).columns == docs.columns
+    assert components(documents(spark, [])).count() == 0
+
+
+def test_registers_merge_and_estimate():
+    from nestrank.llm.op10_setsketch import estimate, merge_registers, registers
+
+    rng = np.random.default_rng(0)
+    both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (3000, 500, 700))
+    one, two = np.append(both, a), np.append(both, b)
+    assert (merge_registers(registers(one), registers(two)) == registers(np.append(one, b))).all()
+    near = estimate(registers(one)[None], registers(two)[None], np.array([3500.0]), np.array([3700.0]))[0]
+    assert abs(near - 3000 / 4200) < 0.1
+
+
+def test_forest_equals_components_of_all_links():
+    from nestrank.llm.op10_setsketch import forest, linked
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(40)]
+    for cut in (None, 17):
+        left, right = (sets, None) if cut is None else (sets[:cut], sets[cut:])
+        edges = forest(left, right, 60)
+        want = {(i, j) for i in range(40) for j in range(i + 1, 40) if linked(sets[i], sets[j], 60) and (cut is None or i < cut <= j)}
+        assert set(edges) <= want
+
+        def classes(pairs):
+            label = list(range(40))
+            for _ in range(40):
+                for i, j in pairs:
+                    label[i] = label[j] = min(label[i], label[j])
+            return label
+
+        assert classes(edges) == classes(want)
+
+
+# secrets
+
+
+def test_secrets_against_brute_force(spark):
+    from nestrank.llm.op9_query import _joined
+    from nestrank.llm.op9_random import redact_secrets, secret_spans
+
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(alphabet) for _ in range(48)) for _ in range(6)]
+    rows = [*ROWS, *((100 + i, f"é😀 before {k} after") for i, k in enumerate(keys))]
+    rows += [
+        (200, 'password = "abcdef123" token:short secret=ab'), (201, "password=token: abcdefgh"), (202, "x" + "AKIA" + "B" * 16),
+        (203, "deadbeef" * 4), (204, "API_KEY: 'zz/zz+zz=' apikey=1234567"), (205, "the " + "international" * 3 + " AaAaAaAaAaAaAaAaAaAaAaAaAaAa1"),
+    ]
+    found = secret_spans(documents(spark, rows)).select("doc_id", _joined("base").alias("base"), _joined("spans").alias("spans")).collect()
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want = collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        want[i, ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))] += 1
+    assert collections.Counter((r.doc_id, r.base) for r in found) == want
+    spans = {r.doc_id: r.spans for r in found}
+    assert sum(spans[100 + i] == "random:10:58" for i in range(6)) >= 5 and spans[205] == ""
+    docs = documents(spark, rows)
+    clean = redact_secrets(docs)
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert texts[203] == "[SECRET]" and texts[1] is None and texts[8] == LONG + "tail" and "abcdef123" not in texts[200]
+
+
+def test_secrets_of_empty_table(spark):
+    from nestrank.llm.op9_random import redact_secrets, secret_spans
+
+    assert secret_spans(documents(spark, [])).count() == 0 and redact_secrets(documents(spark, [])).count() == 0
+
+
+# tokens
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_word_encoder_equals_library(name):
+    rng, coder, whole = random.Random(1), WordEncoder(tokenizer_path(name), limit=40), library(name)
+    pool = ["a", "B", "é", " ", "  ", "\n", "'s", "'", "12", "²", "İ", "_", "中", "\x1c", "\xa0", "don't", "!!", "<|endoftext|>", " \n x"]
+    items = ["", LONG, *("".join(rng.choice(pool) for _ in range(rng.randrange(15))) for _ in range(3000))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(items, add_special_tokens=False)]
+    assert coder.encode(items) == want
+
+
+def test_chunk_joins_equal_library():
+    from nestrank.llm.op6_chunks import join_chunks
+
+    coder, whole, rng = WordEncoder(tokenizer_path(BYTE)), library(BYTE), random.Random(5)
+    pool = ["a", "é", " ", "  ", "\n", "'s", "'", "12", "don't", "!!", " \n x", "the", " of", "'ll", "l"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(2, 40)))
+        at = sorted(rng.sample(range(1, len(text)), min(len(text) - 1, rng.randint(0, 8))))
+        chunks = [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+        ids = coder.word_ids([coder.pre_tokens(c) for c in chunks])
+        assert np.frombuffer(join_chunks(coder, chunks, ids), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_encode_decode(spark):
+    from nestrank.llm.op6_chunks import encode_decode
+
+    shared = " ".join(shuffled_words(900, 9))
+    rows = [*ROWS, *((50 + i, f"head {i} " + shared + f" end {i}") for i in range(5))]
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in encode_decode(documents(spark, rows), tokenizer_path(BYTE), with_ids=True).collect())
+    tool, want = library(BYTE), collections.Counter()
+    for i, t in rows:
+        ids = tool.encode(t or "", add_special_tokens=False).ids
+        text = tool.decode(ids, skip_special_tokens=False)
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), tuple(ids)] += 1
+    assert got == want
+    assert encode_decode(documents(spark, []), tokenizer_path(BYTE)).count() == 0
+
+
+def test_count_equals_unigram_library(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from nestrank.llm.op4_viterbi import Counter, read_vocabulary, token_counts
+
+    rng = random.Random(1)
+    pool = ["a", "b", "the", " ", "  ", "▁", "\n", "é", "中", "😀", "<unk>", "<s>", "<0x0A>", "ing", "tion", "1"]
+    items = ["", LONG, *("".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(2000))]
+    ties = [("<unk>", 0.0), ("a", -1.0), ("aa", -2.0), ("aaa", -3.0), ("▁", -1.0), ("▁a", -2.0), ("b", -4.0), ("ab", -5.0)]
+    for vocabulary in (read_vocabulary(tokenizer_path(PIECE)), (ties, 0)):
+        count = Counter(vocabulary, limit=50)
+        tool = Tokenizer(models.Unigram(vocabulary[0], vocabulary[1], count.byte_fallback))
+        tool.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+        assert [count.text(t) for t in items] == [len(e.ids) for e in tool.encode_batch(items, add_special_tokens=False)]
+    got = token_counts(documents(spark), tokenizer_path(PIECE)).collect()
+    assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+
+
+def test_token_files(spark):
+    from nestrank.llm.op2_mixing import BLOCK, decode_blocks, document_digests, encode_blocks, read_blocks, write_blocks
+
+    rng = np.random.default_rng(1)
+    blocks = [rng.integers(0, 65536, n).astype(np.uint16) for n in (1, 5, 300)] + [np.full(700, 7, np.uint16), np.tile(np.arange(20, dtype=np.uint16), 30)]
+    packed = encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, decode_blocks(packed, [len(b) for b in blocks]), strict=True))
+    assert len(packed[3]) < 100 and len(packed[4]) < 400
+    files = write_blocks(documents(spark), tokenizer_path(WORD))
+    assert files.selectExpr(f"max(length) <= {BLOCK}").first()[0] and read_blocks(files).count() >= len(ROWS)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in document_digests(files).collect())
+    tool, at = library(WORD), 0
+    by_id = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
+    for (start, doc, size, crc), (i, t) in zip(got, by_id, strict=True):
+        ids = [*tool.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (start, doc, size, crc) == (at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert document_digests(write_blocks(documents(spark, []), tokenizer_path(WORD))).count() == 0
+
+
+def test_damaged_block_is_reported(spark):
+    from pyspark.sql import functions as F
+
+    from nestrank.llm.op2_mixing import read_blocks, write_blocks
+
+    files = write_blocks(documents(spark), tokenizer_path(WORD)).withColumn("ids_crc32", F.col("ids_crc32") + 1)
+    with pytest.raises(Exception, match="checksum"):
+        read_blocks(files).collect()
+
+
+# packing
+
+
+def test_packing(spark):
+    from nestrank.llm.op3_packing import pack
+
+    rng = random.Random(8)
+    rows = [*ROWS, *((500 + i, " ".join(shuffled_words(rng.randrange(300), i))) for i in range(60))]
+    got = pack(documents(spark, rows), tokenizer_path(BYTE), capacity=256, with_ids=True).collect()
+    tool, seen = library(BYTE), collections.defaultdict(list)
+    for r in got:
+        seen[r.sequence_id].append((r.offset, r.length))
+        assert len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    for places in seen.values():
+        places.sort()
+        assert all(a[0] + a[1] == b[0] for a, b in zip(places, places[1:], strict=False)) and places[0][0] == 0
+        assert sum(places[-1]) <= 256
+    total = sum(len(tool.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sum(r.length for r in got) == total and len(seen) <= 1.03 * total / 256 + 1
+    assert pack(documents(spark, []), tokenizer_path(BYTE)).count() == 0
+
+
+def test_solver_covers_the_histogram():
+    from nestrank.llm.op3_packing import solve
+
+    rng = np.random.default_rng(0)
+    for counts in ({600: 7}, {1024: 3, 1: 5}, {}, {int(k): int(v) for k, v in enumerate(rng.integers(0, 5000, 1025)) if k and v}):
+        plan, held = solve(counts), collections.Counter()
+        for config, times in plan:
+            assert sum(config) <= 1024 and times > 0
+            for length in config:
+                held[length] += times
+        assert held == collections.Counter(counts)
+    volume = sum(k * v for k, v in counts.items()) / 1024
+    assert sum(t for _, t in plan) <= 1.01 * volume
+
+
+# toxicity
+
+
+def test_toxicity(spark):
+    from nestrank.llm.op1_toxicity import keep_clean, scored, train
+
+    rng, rows, labels = random.Random(4), list(ROWS), []
+    for i in range(1000, 2200):
+        words = shuffled_words(40, i)
+        toxic = rng.random() < 0.15
+        if toxic:
+            words[rng.randrange(40)] = rng.choice(["nastyword", "vileword", "hatefulthing"])
+        rows.append((i, " ".join(words)))
+        if i % 2:
+            labels.append((i, 1, int(toxic)))
+    labels += [(4, 1, None), (4, None, 0), (999_999, 1, 1)]
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = train(docs, marks, "doc_id % 4 != 3")
+    got = {r.doc_id: r.score for r in scored(docs, model).collect()}
+    known = {i: t for i, _, t in labels if i in got and i % 4 == 3}
+    hits = [i for i in known if got[i] >= 0.7]
+    assert all(0 <= s <= 1 for s in got.values())
+    assert sum(known[i] for i in hits) >= 0.9 * sum(known.values()) and sum(not known[i] for i in hits) <= 3
+    assert got[1] == got[2] < 0.7
+    left = keep_clean(docs, model)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} >= {r[0] for r in ROWS}
+
+
+def test_toxicity_without_positives(spark):
+    from nestrank.llm.op1_toxicity import scored, train
+
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = train(documents(spark), none, "true")
+    assert {r.score for r in scored(documents(spark), model).collect()} == {0.0}
+    assert scored(documents(spark, []), train(documents(spark, []), none, "true")).count() == 0
+
+
+# nearest neighbours
+
+
+def test_search_against_brute_force(spark):
+    from nestrank.llm.op5_onebit import search
+
+    rng = np.random.default_rng(6)
+    vectors = [(i, rng.standard_normal(24).astype(np.float32).tolist()) for i in range(600)]
+    vectors += [(i, vectors[100][1]) for i in range(600, 640)]  # ties
+    vectors += [(700, None), (800, [0.0] * 24), (900, [float("nan")] * 24), (1000, [None] * 24), (None, [1.0] * 24), (1100, [1.0, 2.0]), (1101, [1.0, 2.5]), (100, vectors[100][1])]
+    rows = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, embedding array<float>, rank int, id string")
+    got = collections.defaultdict(list)
+    for r in search(rows, "vec_id % 100 = 0").orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 300, 400, 500, 600, 1100}
+    good = [(i, np.array(v)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    for q, found in got.items():
+        own = next(v for i, v in good if i == q)
+        want = sorted((float(np.sqrt(((v - own) ** 2).sum())), i) for i, v in good if i != q and len(v) == len(own))[:10]
+        assert [i for i, _ in found] == [i for _, i in want] and np.allclose([s for _, s in found], [d for d, _ in want])
+    assert search(rows.limit(0), "vec_id % 100 = 0").count() == 0
+
+
+# pages
+
+
+def test_main_text(spark):
+    from nestrank.llm.op8_density import extract, main_text
+
+    body = "Plain words of an article that go on for quite a while, as articles do."
+    page = (
+        "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><a href=/>Home</a><a href=/b>More links</a></nav>"
+        f"<div class='cookie-notice'>We use cookies, many of them, all day long.</div><article><h1>A &amp; B</h1><p><b>{body}<br><p>second\n\n "
+        f"part&nbsp;here</p><form><input>send</form><div class=comments><p>{body} says a reader</p></div></article>"
+        f"<aside>{body}</aside><footer>&copy; us</footer></body></html>"
+    )
+    assert main_text(page) == f"A & B\n\n{body}\n\nsecond part here"
+    plain = f"<body><div id=menu><a>one</a><a>two</a></div><div><p>{body}</p><p>{body}</p></div></body>"
+    assert main_text(plain) == f"{body}\n\n{body}"
+    assert main_text("") == main_text("<html><body></body></html>") == "" and main_text("just text") == "just text"
+    assert main_text("<p>open <b>never <i>closed") == "open never closed" and main_text("<div " * 50 + "x") is not None
+    rows = spark.createDataFrame([(1, "u", None, 5), (None, None, page, 6), (2, "v", "", 7)], "page_id long, url string, html string, n_chars int")
+    got = {r.page_id: r for r in extract(rows).collect()}
+    assert got[1].text == "" and got[1].n_chars == 0 and got[None].n_chars == len(main_text(page))
+    assert extract(rows.limit(0)).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_stages_keep_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns, now = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, now, "/root/testdata/sf0.001").write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.columns == columns, name
+    assert 0 < now.count() <= docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").count() >= now.count()
