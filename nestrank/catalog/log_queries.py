@@ -30,8 +30,8 @@ def change_events(spark, sf_dir):
 
 @query("change_counts_hot_keys", f"WITH {S.EVENTS} SELECT event_type, count(*) AS events, round(sum(round(amount, 2)), 2) AS amount FROM ev GROUP BY 1")
 def change_counts_hot_keys(spark, sf_dir):
-    """Same events with every listing above two observations treated as a hot key."""
-    ev = CH.detect_changes(FX.observations(spark, sf_dir), FX.OBSERVATION_ORDER, hot_rows=2)
+    """Same events with pieces of five minutes instead of the default."""
+    ev = CH.detect_changes(FX.observations(spark, sf_dir), FX.OBSERVATION_ORDER, seconds=300)
     cents = F.sum(F.rint(F.round("amount", 2) * 100).cast("bigint")) / 100
     return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.round(cents, 2).alias("amount"))
 
@@ -89,6 +89,25 @@ def recent_changes(spark, sf_dir):
     return feed.select("event_id", "event_type", "address")
 
 
+@query(
+    "recent_changes_all",
+    f"WITH {S.RAW}, {S.EVENTS} SELECT event_id, event_type, address, raw.price AS listing_price FROM ev JOIN raw ON raw.id = ev.listing_id",
+)
+def recent_changes_all(spark, sf_dir):
+    feed = FL.changes(FX.events_of(spark, sf_dir), FX.raw_listings(spark, sf_dir), limit=None)
+    return feed.select("event_id", "event_type", "address", "listing_price")
+
+
+@query(
+    "history",
+    f"WITH {S.EVENTS} SELECT event_id, event_type FROM ev WHERE listing_id = (SELECT min(listing_id) FROM ev)",
+)
+def history(spark, sf_dir):
+    events = FX.events_of(spark, sf_dir)
+    first = events.agg(F.min("listing_id")).first()[0]
+    return CH.history(events, first, limit=None).select("event_id", "event_type")
+
+
 @query(
     "stale_without_event",
     f"WITH {S.RAW}, {S.EVENTS} SELECT id, days_on_market FROM raw WHERE days_on_market >= 45 AND id NOT IN (SELECT listing_id FROM ev WHERE event_type = 'price_drop')",
@@ -191,7 +210,8 @@ DELTAS = (
 
 
 def _tops(spark, sf_dir):
-    staged = stage(FX.listings(spark, sf_dir), RENTAL)
+    voted = LE.voted_listings(FX.listings(spark, sf_dir), LE.latest_feedback(FX.feedback_log(spark, sf_dir)))
+    staged = stage(voted, RENTAL)
     scores = F.array(
         *[
             F.struct(

@@ -355,6 +355,46 @@ def listing_page(spark, sf_dir):
     return FL.listing_page(FX.raw_listings(spark, sf_dir), RENTAL, 100, 50).select("id", "price")
 
 
+@query(
+    "listing_page_large",
+    f"WITH {S.RAW} SELECT id, price FROM raw WHERE price <= 9500 AND beds >= 2 AND baths >= 2 AND sqft >= 550 AND neighborhood IN "
+    f"({', '.join(S.q(n) for n in RENTAL.neighborhoods)}) ORDER BY id LIMIT 2000",
+)
+def listing_page_large(spark, sf_dir):
+    return FL.listing_page(FX.raw_listings(spark, sf_dir), RENTAL, 0, 2000).select("id", "price")
+
+
+def _sorted(mode: str, order: str):
+    @query(f"sort_{mode}", f"WITH {S.RAW} SELECT id, price, days_on_market FROM raw ORDER BY {order}, id LIMIT 500")
+    def run(spark, sf_dir):
+        return FL.sort_matches(FX.raw_listings(spark, sf_dir), mode).limit(500).select("id", "price", "days_on_market")
+
+    return run
+
+
+for _mode, _order in (
+    ("price_low", "price ASC NULLS LAST"), ("price_high", "coalesce(price, 0) DESC"), ("newest", "coalesce(days_on_market, 999)"),
+):
+    _sorted(_mode, _order)
+
+ACTIVE_EXPRS = {
+    "id": "c_custkey", "user_id": "c_custkey % 500", "name": "concat('set ', CAST(c_custkey % 7 AS STRING))",
+    "is_active": "c_custkey % 5 = 0", "price_max": "CAST(1500 + c_custkey % 2500 AS DOUBLE)",
+}
+
+
+@query(
+    "active_criteria",
+    "WITH c AS (" + FX.select_sql(ACTIVE_EXPRS, "customer") + "), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY is_active DESC, id DESC) AS rn FROM c), "
+    "u AS (SELECT DISTINCT s_suppkey AS user_id FROM supplier) SELECT u.user_id, id, CASE WHEN id IS NULL THEN 'Default Criteria' ELSE name END AS name, TRUE AS is_active, price_max "
+    "FROM u LEFT JOIN (SELECT * FROM r WHERE rn = 1) x ON x.user_id = u.user_id",
+)
+def active_criteria(spark, sf_dir):
+    rows = FX.table(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in ACTIVE_EXPRS.items()])
+    users = FX.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS user_id")
+    return FL.active_criteria(users, rows).select("user_id", "id", "name", "is_active", "price_max")
+
+
 CRIT_COND = (
     "(c.price_min IS NULL OR l.price >= c.price_min) AND (c.price_max IS NULL OR l.price <= c.price_max) AND (c.beds_min IS NULL OR l.beds >= c.beds_min) "
     "AND l.baths >= c.baths_min AND l.sqft >= c.sqft_min AND (NOT c.require_natural_light OR l.has_natural_light_keywords)"

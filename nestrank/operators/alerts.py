@@ -129,10 +129,10 @@ def alert_subjects(alerts: DataFrame, brand: str = "nestrank") -> DataFrame:
     )
 
 
-def scout_pool(listings: DataFrame, p: Profile) -> DataFrame:
-    """The hundred best matches: every scout sees a prefix of this one ranking."""
-    top = top_points(listings, p, SCOUT_POOL)
-    window = Window.orderBy(F.col("points").desc(), F.col("id"))  # at most 100 rows
+def scout_pool(listings: DataFrame, p: Profile, size: int = SCOUT_POOL) -> DataFrame:
+    """The ``size`` best matches: every scout sees a prefix of this one ranking."""
+    top = top_points(listings, p, size)
+    window = Window.orderBy(F.col("points").desc(), F.col("id"))  # ``size`` rows
     return top.select("id", "points").select(
         F.col("id").alias("listing_id"), "points",
         SC.score_pct(F.col("points"), p.total_weight).alias("percent"),
@@ -168,12 +168,12 @@ def scout_stats(matches: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
-def run_scouts(scouts: DataFrame, listings: DataFrame, p: Profile, seen: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
+def run_scouts(scouts: DataFrame, listings: DataFrame, p: Profile, seen: DataFrame, now: Column | None = None, pool_size: int = SCOUT_POOL) -> dict[str, DataFrame]:
     """One run of all given scouts: alerts (capped per scout), statistics, grown seen set."""
-    pool = cut_lineage(scout_pool(listings, p))  # 100 rows, read by three results
+    pool = cut_lineage(scout_pool(listings, p, pool_size))  # a few rows, read by three results
     matches = scout_matches(scouts, pool)
     fresh = new_matches(matches, seen)
-    window = Window.partitionBy("scout_id").orderBy("rank")  # at most 100 rows per scout
+    window = Window.partitionBy("scout_id").orderBy("rank")  # at most ``pool_size`` rows per scout
     alerts = (
         fresh.withColumn("_rn", F.row_number().over(window))
         .filter(F.col("_rn") <= F.coalesce("max_results_per_alert", F.lit(10)))

@@ -82,35 +82,34 @@ def observation_snapshots(obs: DataFrame) -> DataFrame:
     )
 
 
-def prev_snapshot(obs: DataFrame, order: list[str], hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def prev_snapshot(obs: DataFrame, order: list[str], seconds: int = skew.PIECE_SECONDS) -> DataFrame:
     """Add ``prev``, the snapshot before this one of the same listing.
 
-    A listing with more than ``hot_rows`` observations is cut by day; see ``skew``.
+    Every listing is cut into pieces of ``seconds``; see ``skew``.
     """
-    piece = F.unix_date(F.col(order[0]).cast("date"))
-    return skew.previous(obs, "listing_id", order, F.col("snap"), piece, "prev", hot_rows)
+    piece = F.floor(F.unix_timestamp(F.col(order[0]).cast("timestamp")) / F.lit(seconds))
+    return skew.previous(obs, "listing_id", order, F.col("snap"), piece, "prev")
 
 
-def detect_changes(obs: DataFrame, order: list[str], hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def detect_changes(obs: DataFrame, order: list[str], seconds: int = skew.PIECE_SECONDS) -> DataFrame:
     """Typed change events between consecutive observations, in ``order``.
 
-    One shuffle by listing.  Equal snapshots give no event; a first one gives
+    Shuffled by listing and piece.  Equal snapshots give no event; a first one gives
     ``new_listing``.  ``seq`` numbers the events of one observation.
     """
-    paired = prev_snapshot(observation_snapshots(obs), order, hot_rows)
+    paired = prev_snapshot(observation_snapshots(obs), order, seconds)
     changed = paired.filter(F.col("prev").isNull() | (F.col("prev") != F.col("snap")))
     moves = change_array(F.col("prev"), F.col("snap"))
     keys = ["listing_id", *order]
     return changed.select(*keys, F.posexplode(moves).alias("seq", "event")).select(*keys, "seq", "event.*")
 
 
-def history(events: DataFrame, listing_id: int, limit: int = 50) -> DataFrame:
-    """Changes of one listing, newest first."""
-    return (
-        events.filter(F.col("listing_id") == listing_id)
-        .orderBy(F.col("created_at").desc(), F.col("event_id").desc())
-        .limit(max(1, min(500, limit)))
+def history(events: DataFrame, listing_id: int, limit: int | None = 50) -> DataFrame:
+    """Changes of one listing, newest first; all of them without ``limit``."""
+    found = events.filter(F.col("listing_id") == listing_id).orderBy(
+        F.col("created_at").desc(), F.col("event_id").desc()
     )
+    return found if limit is None else found.limit(limit)
 
 
 def recent(events: DataFrame, since: datetime | Column) -> DataFrame:

@@ -164,8 +164,8 @@ def criteria_filter(df: DataFrame, criteria: dict) -> DataFrame:
     return df.filter(criteria_condition(crit, listing)).orderBy(F.col("price").asc_nulls_last(), F.col("id"))
 
 
-def listing_page(df: DataFrame, p: Profile, skip: int = 0, limit: int = 100) -> DataFrame:
-    """A page of the catalog; unlike the matcher it drops listings of unknown size."""
+def listing_page(df: DataFrame, p: Profile, skip: int = 0, limit: int | None = 100) -> DataFrame:
+    """A page of the catalog (all of it without ``limit``); unlike the matcher it drops listings of unknown size."""
     hard, cond = p.hard_filters, F.lit(True)
     if hard.get("price_max") is not None:
         cond = cond & (F.col("price") <= F.lit(float(hard["price_max"])))
@@ -177,7 +177,7 @@ def listing_page(df: DataFrame, p: Profile, skip: int = 0, limit: int = 100) ->
         cond = cond & F.col("neighborhood").isin(*p.neighborhoods)
     page = df.filter(cond).orderBy("id")
     page = page.offset(skip) if skip else page
-    return page.limit(max(1, min(500, limit)))
+    return page if limit is None else page.limit(limit)
 
 
 def workspace_filter(
@@ -220,11 +220,10 @@ def sort_matches(df: DataFrame, mode: str = "score") -> DataFrame:
     return df.orderBy(orders[mode], F.col("id")) if mode in orders else df
 
 
-def changes(events: DataFrame, listings: DataFrame, since: datetime | None = None, types: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest changes with address, price and url of the listing.
+def changes(events: DataFrame, listings: DataFrame, since: datetime | None = None, types: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Newest changes (all without ``limit``) with address, price and url of the listing.
 
-    The limit comes before the join would: listing rows are fetched for ``limit``
-    events only, which keeps the join a broadcast of a bounded side.
+    The limit comes before the join: listing facts are fetched for the chosen events only.
     """
     feed = events
     if since is not None:
@@ -234,11 +233,29 @@ def changes(events: DataFrame, listings: DataFrame, since: datetime | None = Non
         feed = feed.filter(F.col("event_type").isin(*wanted))
     order = [F.col("created_at").desc(), F.col("event_id").desc()]
     known = listings.select(F.col("id").alias("listing_id"))
-    top = feed.join(known, "listing_id", "left_semi").orderBy(*order).limit(max(1, min(500, limit)))
+    top = feed.join(known, "listing_id", "left_semi")
+    if limit is not None:
+        top = top.orderBy(*order).limit(limit)
     facts = listings.select(
         F.col("id").alias("listing_id"), "address", F.col("price").alias("listing_price"), "url"
     )
-    return facts.join(F.broadcast(top), "listing_id").orderBy(*order)
+    return facts.join(top, "listing_id").orderBy(*order)
+
+
+def active_criteria(users: DataFrame, criteria: DataFrame) -> DataFrame:
+    """One criteria row per user: the active one with the largest id, else the latest.
+
+    Users without a row get the default one (no id yet); the row that is returned counts as
+    active. Rows of a user are combined on the map side, so no user's history is gathered.
+    """
+    columns = [c for c in criteria.columns if c != "user_id"]
+    rank = F.struct(F.coalesce("is_active", F.lit(False)), F.col("id"))
+    chosen = criteria.groupBy("user_id").agg(F.max_by(F.struct(*columns), rank).alias("_row"))
+    row = users.select("user_id").distinct().join(chosen, "user_id", "left")
+    named = {c: F.col("_row")[c] for c in columns}
+    named["name"] = F.when(F.col("_row").isNull(), F.lit("Default Criteria")).otherwise(F.col("_row")["name"])
+    named["is_active"] = F.lit(True)
+    return row.select("user_id", *[v.alias(c) for c, v in named.items()])
 
 
 def validate_criteria(df: DataFrame) -> DataFrame:

@@ -82,10 +82,9 @@ def new_matches(matches: DataFrame, seen: DataFrame) -> DataFrame:
     return matches.join(seen, ["scout_id", "listing_id"], "left_anti")
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, max_rows: int = 10_000) -> DataFrame:
-    """Left join with a dimension; it is broadcast only when its size is checked."""
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(dim) if small else dim, key, "left")
+def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Left join with a dimension; the planner broadcasts it when its size is known to be small."""
+    return df.join(dim, key, "left")
 
 
 def criteria_matches(listings: DataFrame, criteria: DataFrame, price_step: float = 500.0, price_buckets: int = 40) -> DataFrame:

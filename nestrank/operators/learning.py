@@ -47,6 +47,12 @@ def feedback_pivot(feedback: DataFrame, user_id: int | None = None) -> DataFrame
     return feedback.groupBy("listing_id").agg(*aggs)
 
 
+def voted_listings(listings: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Listings with a like or dislike: only these need a scorecard to learn from."""
+    votes = feedback.filter(F.col("feedback_type").isin("like", "dislike"))
+    return listings.join(votes.select(F.col("listing_id").alias("id")).distinct(), "id", "left_semi")
+
+
 def scored_top(scored: DataFrame, k: int = TOP_CRITERIA) -> DataFrame:
     """(listing_id, top) with the k leading criteria of a scorecard column."""
     return scored.filter(F.size("feature_scores") > 0).select(

@@ -1,8 +1,8 @@
-"""Keys that hold a large share of the rows.
+"""Ordered operators over keys that may hold a large share of the rows.
 
-An ordered operator over one key (previous row, running state) cannot be combined
-before the shuffle.  These helpers find the few keys too big for one task and cut
-only those into ordered pieces; all other keys keep a single window.
+An ordered operator over one key (previous row, running state) cannot be combined before the
+shuffle. Every key is cut into pieces of the order, whatever its size: no count decides between
+plans, and a key that holds a third of the table is as many windows as it has pieces.
 """
 
 from __future__ import annotations
@@ -10,58 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1000
+PIECE_SECONDS = 6 * 3600
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows, at most the ``HOT_KEYS`` largest.
-
-    The count is combined on the map side.  Any key beyond the limit holds less than a
-    thousandth of the table, so leaving it whole does not make a straggler; the
-    limit also bounds what callers broadcast.
-    """
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows)
-        .orderBy(F.col("_rows").desc(), F.col(key))
-        .limit(HOT_KEYS)
-        .select(key)
-    )
-
-
-def with_piece(df: DataFrame, key: str, piece: Column, rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_piece``: ``piece`` (monotone in the order) for hot keys, NULL for others."""
-    hot = F.broadcast(hot_keys(df, key, rows).withColumn("_hot", F.lit(True)))
-    return df.join(hot, key, "left").withColumn("_piece", F.when(F.col("_hot"), piece)).drop("_hot")
-
-
-def previous(df: DataFrame, key: str, order: list[str], value: Column, piece: Column, name: str = "_prev", rows: int = HOT_ROWS) -> DataFrame:
+def previous(df: DataFrame, key: str, order: list[str], value: Column, piece: Column, name: str = "_prev") -> DataFrame:
     """Add the ``value`` of the previous row of the same key in ``order``.
 
-    A hot key is cut into pieces; each piece is one window, and its first row takes the
-    last value of the nearest earlier piece.  Last values are aggregates with a map-side
-    combine, one row per (hot key, piece), so no task sees a whole hot key.
+    ``piece`` is monotone in the order. Each (key, piece) is one window; its first row takes the
+    last value of the nearest earlier piece. Last values come from an aggregate over the same
+    (key, piece) distribution, one row a piece, and only those rows are ordered per key.
     """
-    cut = with_piece(df.withColumn("_value", value), key, piece, rows)
+    cut = df.withColumns({"_value": value, "_piece": piece})
     window = Window.partitionBy(key, "_piece").orderBy(*order)
-    local = cut.withColumns(
-        {"_lag": F.lag("_value").over(window), "_first": F.row_number().over(window) == 1}
-    )
-    tails = (
-        cut.filter(F.col("_piece").isNotNull())
-        .groupBy(key, "_piece")
-        .agg(F.max_by("_value", F.struct(*order)).alias("_tail"))
-    )
+    local = cut.withColumns({"_lag": F.lag("_value").over(window), "_first": F.row_number().over(window) == 1})
+    tails = cut.groupBy(key, "_piece").agg(F.max_by("_value", F.struct(*order)).alias("_tail"))
     carried = tails.select(
         key,
         "_piece",
         F.lit(True).alias("_first"),
         F.lag("_tail").over(Window.partitionBy(key).orderBy("_piece")).alias("_carry"),
     )
-    return (
-        local.join(carried, [key, "_piece", "_first"], "left")
-        .withColumn(name, F.coalesce("_lag", "_carry"))
-        .drop("_value", "_lag", "_first", "_carry", "_piece")
+    same = [local[key].eqNullSafe(carried[key]), local["_piece"].eqNullSafe(carried["_piece"]), local["_first"] == carried["_first"]]
+    keep = [local[c] for c in df.columns]
+    return local.join(carried, same, "left").select(
+        *keep, F.when(local["_first"], carried["_carry"]).otherwise(local["_lag"]).alias(name)
     )

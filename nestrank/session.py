@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that only steer the optimizer; cluster sizing stays with the caller.
@@ -43,16 +41,14 @@ def build_session(
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of ``spark.checkpoint.dir``.
+    """Checkpoint to the shared folder that the session names.
 
-    A folder of our own is set only on a local master without one (tests); on a
-    cluster a machine-local folder would be lost with the executor.
+    That is ``spark.checkpoint.dir`` or a folder set on the context; where neither is set, a
+    folder in the warehouse, which all executors share.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="nestrank-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)

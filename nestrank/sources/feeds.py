@@ -176,9 +176,13 @@ def normalize_detail_b(raw: DataFrame, raw_col: str = "payload", id_col: str = "
     )
 
 
-def source_slug(col: Column) -> Column:
+SLUG_LENGTH = 24  # of a source key; None keeps long names apart
+
+
+def source_slug(col: Column, longest: int | None = SLUG_LENGTH) -> Column:
     slug = F.regexp_replace(F.regexp_replace(F.lower(col), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.coalesce(F.nullif(F.substring(slug, 1, 24), F.lit("")), F.lit("curated"))
+    slug = slug if longest is None else F.substring(slug, 1, longest)
+    return F.coalesce(F.nullif(slug, F.lit("")), F.lit("curated"))
 
 
 CURATED = (

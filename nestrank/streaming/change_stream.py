@@ -107,8 +107,8 @@ class ChangeLog:
     lost executor or driver overwrites itself and the log stays exact.
     """
 
-    def __init__(self, spark: SparkSession, path: str, order: Sequence[str], hot_rows: int = CH.skew.HOT_ROWS):
-        self.spark, self.path, self.order, self.hot_rows = spark, path.rstrip("/"), list(order), hot_rows
+    def __init__(self, spark: SparkSession, path: str, order: Sequence[str], seconds: int = CH.skew.PIECE_SECONDS):
+        self.spark, self.path, self.order, self.seconds = spark, path.rstrip("/"), list(order), seconds
 
     def _snapshots(self, batch_id: int) -> str:
         return f"{self.path}/snapshots/batch={batch_id}"
@@ -119,7 +119,7 @@ class ChangeLog:
         if batch_id > 0:
             before = self.spark.read.schema(batch.select(*cols).schema).parquet(self._snapshots(batch_id - 1))
             rows = rows.unionByName(before.withColumn("_old", F.lit(True)))
-        paired = CH.prev_snapshot(CH.observation_snapshots(rows), self.order, self.hot_rows)
+        paired = CH.prev_snapshot(CH.observation_snapshots(rows), self.order, self.seconds)
         moves = CH.change_array(F.col("prev"), F.col("snap"))
         fresh = paired.filter(~F.col("_old") & (F.col("prev").isNull() | (F.col("prev") != F.col("snap"))))
         keys = ["listing_id", *self.order]
