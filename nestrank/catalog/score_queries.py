@@ -377,6 +377,31 @@ for _mode, _order in (
 ):
     _sorted(_mode, _order)
 
+PRESET_FACTS = {
+    "walk_score": "CAST(id % 101 AS INT)",
+    "property_type": "CASE id % 5 WHEN 0 THEN 'Condo' WHEN 1 THEN 'loft' WHEN 2 THEN 'house' WHEN 3 THEN 'townhouse' END",
+}
+_PASSES = {
+    "light_chaser": "NOT coalesce(is_north_facing_only, FALSE) AND NOT coalesce(is_basement_unit, FALSE)",
+    "urban_professional": "walk_score >= 85 AND (property_type IS NULL OR lower(property_type) IN ('condo', 'loft', 'townhouse'))",
+    "deal_hunter": "coalesce(days_on_market >= 14, TRUE)",
+}
+
+
+@query(
+    "preset_filtered",
+    f"WITH {S.LISTINGS}, f AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in PRESET_FACTS.items())} FROM fx) "
+    + " UNION ALL ".join(f"SELECT '{pid}' AS preset, id FROM f WHERE {cond}" for pid, cond in _PASSES.items()),
+)
+def preset_filtered(spark, sf_dir):
+    facts = FX.listings(spark, sf_dir).selectExpr("*", *[f"{e} AS {n}" for n, e in PRESET_FACTS.items()])
+    parts = [
+        FL.preset_filtered(facts, FL.preset_filters({}, preset)).select(F.lit(pid).alias("preset"), "id")
+        for pid, preset in profile_data.PRESETS.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 ACTIVE_EXPRS = {
     "id": "c_custkey", "user_id": "c_custkey % 500", "name": "concat('set ', CAST(c_custkey % 7 AS STRING))",
     "is_active": "c_custkey % 5 = 0", "price_max": "CAST(1500 + c_custkey % 2500 AS DOUBLE)",

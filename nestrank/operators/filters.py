@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,6 +181,28 @@ def listing_page(df: DataFrame, p: Profile, skip: int = 0, limit: int | None = 1
     return page if limit is None else page.limit(limit)
 
 
+def preset_filters(base: Mapping[str, Any], preset: Mapping[str, Any] | None) -> dict[str, Any]:
+    """Filters of a profile with a preset's on top; the preset's win where both are given."""
+    return {**base, **(preset or {}).get("filters", {})}
+
+
+def preset_filtered(df: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
+    """Listings that pass preset filters; a fact that is not known passes.
+
+    ``include_price_reduced`` widens a search and so drops nothing.
+    """
+    cond = F.lit(True)
+    for name, column in (("avoid_north_facing_only", "is_north_facing_only"), ("avoid_basement_units", "is_basement_unit")):
+        if filters.get(name):
+            cond = cond & ~F.coalesce(F.col(column), F.lit(False))
+    for name, column in (("min_walk_score", "walk_score"), ("min_days_on_market", "days_on_market")):
+        if filters.get(name) is not None:
+            cond = cond & F.coalesce(F.col(column) >= F.lit(filters[name]), F.lit(True))
+    if filters.get("property_types"):
+        cond = cond & F.coalesce(F.lower("property_type").isin(*filters["property_types"]), F.lit(True))
+    return df.filter(cond)
+
+
 def workspace_filter(
     df: DataFrame,
     neighborhood: str | None = None,
