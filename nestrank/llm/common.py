@@ -62,17 +62,15 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node it reaches.
 
     Alternating large-star and small-star steps: a neighbour list is never gathered, only its
-    minimum (a partial aggregate) is joined back, so a hub is safe. Each round is staged; the
-    driver sees one (count, checksum) row per round.
+    minimum (a partial aggregate) is joined back. Minima are staged, so both sides of that join are
+    plain shuffles and adaptive execution may split the edges of a hub. The driver sees one
+    (count, checksum) row per round.
     """
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = pairs.join(low, "u")
-        if large:
-            return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
-            low.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        )
+    def minima(pairs: DataFrame) -> DataFrame:
+        return staged(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+
+    def pairs_of(a: str, b: str, table: DataFrame) -> DataFrame:
+        return table.select(F.col(a).alias("u"), F.col(b).alias("v"))
 
     now = staged(
         edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
@@ -83,13 +81,16 @@ def min_labels(edges: DataFrame, name: str) -> DataFrame:
         if check == seen:
             break
         seen = check
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-            now.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        wide = star(both, True).where("a != b").distinct()
-        # Large-star keeps (neighbour, minimum) pairs; small-star hooks each node under its minimum.
-        down = wide.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        now = staged(star(down, False).where("a != b").distinct(), name)
+        # Large star: every larger neighbour of a node is hooked under the node's minimum.
+        both = pairs_of("a", "b", now).union(pairs_of("b", "a", now))
+        wide = both.where("v > u").join(minima(both), "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        wide = staged(wide.distinct(), name)
+        # Small star: every smaller neighbour, and the node, is hooked under the node's minimum.
+        down = pairs_of("a", "b", wide)
+        low = minima(down)
+        hooked = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        own = low.select(F.col("u").alias("a"), F.col("m").alias("b"))
+        now = staged(hooked.union(own).where("a != b").distinct(), name)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
