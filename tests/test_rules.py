@@ -2,6 +2,7 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nestrank.functions import columns as CO
@@ -129,9 +130,11 @@ def test_page_state():
 def test_previous_row_of_hot_keys(spark):
     rows = [(k, d, i, float(i * d + k)) for k in (1, 2) for d in (1, 3, 4) for i in range(3)]
     df = spark.createDataFrame(rows, "k long, d int, i int, v double")
-    plain = skew.previous(df, "k", ["d", "i"], F.col("v"), F.col("d"))
-    cut = skew.previous(df, "k", ["d", "i"], F.col("v"), F.col("d"), rows=2)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+    whole = Window.partitionBy("k").orderBy("d", "i")
+    plain = sorted(map(str, df.withColumn("_prev", F.lag("v").over(whole)).collect()))
+    for piece in (F.col("d"), F.lit(0), F.col("d") * 10 + F.col("i")):  # days, one piece, a piece per row
+        cut = skew.previous(df, "k", ["d", "i"], F.col("v"), piece)
+        assert sorted(map(str, cut.collect())) == plain
 
 
 def test_dedupe_twice_is_once(spark):
