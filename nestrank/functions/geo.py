@@ -203,27 +203,37 @@ def _best_member(lat: str, lon: str, segments: list[tuple], within: float | None
     return f"least({', '.join(entries)})" if len(entries) > 1 else entries[0]
 
 
-def nearest_in_city(city: Column, lat: str, lon: str, layer: str, within: float | None = None) -> Column:
-    """Nearest member of the layer of the row's city: struct(distance_m, name, severity).
+def nearest_member(city: Column, lat: str, lon: str, layer: str, within: float | None = None) -> Column:
+    """Nearest member of the layer of the row's city, not yet in metres; see ``measured``.
 
     ``lat`` and ``lon`` name columns.  Ties go to the earlier member.  The segments are
     unrolled into generated code: for layers of this size that is far faster than a
-    lambda over an array.  With ``within`` only members around the point are measured,
-    and a point with none gets NULL.
+    lambda over an array, and no lambda is around them, which would leave generated code.
+    With ``within`` only members around the point are measured, and a point with none
+    gets NULL.
     """
     chain = None
     for name in LAYERS:
         best = F.expr(_best_member(lat, lon, layer_segments(name, layer), within))
         chain = F.when(city == name, best) if chain is None else chain.when(city == name, best)
-    return let(
-        chain,
-        lambda s: F.when(
-            s.isNotNull(),
-            F.struct(_metres(s.inner).alias("distance_m"), s["name"].alias("name"), s.severity.alias("severity")),
+    return chain
+
+
+def measured(member: Column) -> Column:
+    """struct(distance_m, name, severity) of a ``nearest_member``, best a staged column."""
+    return F.when(
+        member.isNotNull(),
+        F.struct(
+            _metres(member.inner).alias("distance_m"), member["name"].alias("name"), member.severity.alias("severity")
         ),
     )
 
 
+def nearest_in_city(city: Column, lat: str, lon: str, layer: str, within: float | None = None) -> Column:
+    """``measured(nearest_member)`` as one expression, where there is no place to stage it."""
+    return let(nearest_member(city, lat, lon, layer, within), measured)
+
+
 # No band of the score reaches further than this.
 REACH_M = {"street": 300.0, "freeway": 500.0, "fire": 300.0}
 
@@ -234,8 +244,12 @@ def tranquility_of(city: Column, lat: str, lon: str) -> Column:
     Beyond the reach a layer costs nothing, so far members need no trigonometry; the
     margin of the cheap test keeps every member that could count.
     """
-    near = [nearest_in_city(city, lat, lon, layer, reach * 1.1) for layer, reach in REACH_M.items()]
-    return F.when(city.isNotNull(), tranquility_points(*near))
+    near = [nearest_member(city, lat, lon, layer, reach * 1.1) for layer, reach in REACH_M.items()]
+    points = let(
+        F.struct(*[member.alias(layer) for member, layer in zip(near, REACH_M)]),
+        lambda s: tranquility_points(*[measured(s[layer]) for layer in REACH_M]),
+    )
+    return F.when(city.isNotNull(), points)
 
 
 def tranquility_points(street: Column, freeway: Column, fire: Column) -> Column:
@@ -256,7 +270,7 @@ def tranquility_points(street: Column, freeway: Column, fire: Column) -> Column:
     def fire_cost(s: Column) -> Column:
         return F.when(s.distance_m < 150, F.lit(10.0)).when(s.distance_m < 300, F.lit(5.0)).otherwise(F.lit(0.0))
 
-    score = F.lit(100.0) - let(street, street_cost) - let(freeway, freeway_cost) - let(fire, fire_cost)
+    score = F.lit(100.0) - street_cost(street) - freeway_cost(freeway) - fire_cost(fire)
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(score))).cast("int")
 
 

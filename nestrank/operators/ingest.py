@@ -109,14 +109,18 @@ def enrich(df: DataFrame) -> DataFrame:
     )
 
 
+NEW_ID_PIECES = 1 << 20
+
+
 def upsert(listings: DataFrame, batch: DataFrame, order: Sequence[str], run_ts: Column, raw_source: str | None = None) -> DataFrame:
     """New version of the listing table after a batch.
 
     Rows without an address are skipped.  The last row of a listing wins field by field
     (NULL overwrites), but photos keep the last non-empty list and ``sources_seen`` is
-    the union.  A new listing takes its natural key; its id is a hash of that key.
-    The batch is reduced to one row per listing by aggregates with a map-side combine
-    before it meets the table.
+    the union.  A new listing keeps its natural key and gets an id above the largest one
+    of the table: ``NEW_ID_PIECES`` pieces by hash of the key, numbered inside each, so no
+    two keys ever share an id and nothing is numbered in one task.  The batch is reduced to
+    one row per listing by aggregates with a map-side combine before it meets the table.
     """
     rows = batch.filter(F.coalesce(F.col("address"), F.lit("")) != "")
     source_id = CO.first_true(F.col("source_listing_id"), F.col("listing_id").cast("string"))
@@ -128,9 +132,7 @@ def upsert(listings: DataFrame, batch: DataFrame, order: Sequence[str], run_ts:
         .otherwise(F.coalesce(F.when(F.col("source") == F.lit(raw_source or ""), F.col("listing_id")), built)),
     )
     resolved = resolve_ids(keyed, listings)
-    identity = F.coalesce(
-        F.concat_ws("\u0001", F.lit("id"), F.col("existing_id").cast("string")),
-    )
+    identity = F.concat_ws("\u0001", F.lit("id"), F.col("existing_id").cast("string"))
     natural = F.coalesce(
         F.when(F.col("source").isNotNull() & F.col("source_listing_id").isNotNull(),
                F.concat_ws("\u0001", F.lit("s"), "source", "source_listing_id")),
@@ -148,9 +150,17 @@ def upsert(listings: DataFrame, batch: DataFrame, order: Sequence[str], run_ts:
         F.max_by("photos", shown).alias("_photos"),
         F.sort_array(F.collect_set("source")).alias("_sources"),  # bounded by the number of sources
     )
-    new_id = F.coalesce(F.col("_last.existing_id"), F.xxhash64("_who"))
-    incoming = merged.select(
-        new_id.alias("id"),
+    piece = F.pmod(F.xxhash64("_who"), F.lit(NEW_ID_PIECES))
+    window = Window.partitionBy("_piece").orderBy("_who")
+    top = listings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    made = top + F.lit(1) + (F.col("_n") - 1) * F.lit(NEW_ID_PIECES) + F.col("_piece")
+    known, fresh = F.col("_last.existing_id").isNotNull(), F.col("_last.existing_id").isNull()
+    numbered = merged.filter(known).withColumn("id", F.col("_last.existing_id")).unionByName(
+        merged.filter(fresh).withColumn("_piece", piece).withColumn("_n", F.row_number().over(window))
+        .withColumn("id", made).drop("_piece", "_n")
+    )
+    incoming = numbered.select(
+        "id",
         *[F.col(f"_last.{c}").alias(f"_n_{c}") for c in plain],
         "_photos", "_sources", F.lit(True).alias("_new"),
     )

@@ -55,20 +55,33 @@ def with_last_n(df: DataFrame, events: DataFrame, n: int = 5) -> DataFrame:
 
 def resolve_ids(batch: DataFrame, listings: DataFrame) -> DataFrame:
     """Add ``existing_id``: found by (source, source_listing_id), else by listing_id, else
-    by url; the smallest id wins when a key is not unique."""
-    def lookup(*keys: str) -> DataFrame:
-        known = listings
-        for key in keys:
-            known = known.filter(F.col(key).isNotNull())
-        return known.groupBy(*keys).agg(F.min("id").alias("_id_" + keys[-1]))
-
-    return (
-        batch.join(lookup("source", "source_listing_id"), ["source", "source_listing_id"], "left")
-        .join(lookup("listing_id"), "listing_id", "left")
-        .join(lookup("url"), "url", "left")
-        .withColumn("existing_id", F.coalesce("_id_source_listing_id", "_id_listing_id", "_id_url"))
-        .drop("_id_source_listing_id", "_id_listing_id", "_id_url")
-    )
+    by url; the smallest id wins when a key is not unique.
+
+    Each lookup is first reduced to the keys the batch holds, so a small batch does not
+    shuffle the table.  Rows without a key, or found before, take a spread key that no
+    listing has (it starts with a NUL) and so do not meet in one task.
+    """
+    every = ["source", "source_listing_id", "listing_id", "url"]
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*every), F.lit(4096)).cast("string"))
+    legs = {"_natural": ("source", "source_listing_id"), "_listing": ("listing_id",), "_url": ("url",)}
+
+    def key_of(names: tuple[str, ...]) -> Column:
+        if len(names) == 1:
+            return F.col(names[0])
+        whole = F.concat_ws("\u0001", *names)
+        return F.when(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull(), whole)
+
+    out = batch.withColumn("existing_id", F.lit(None).cast(listings.schema["id"].dataType))
+    for leg, names in legs.items():
+        asked = batch.select(key_of(names).alias(leg)).filter(F.col(leg).isNotNull()).distinct()
+        known = listings.select(key_of(names).alias(leg), "id").join(asked, leg, "left_semi")
+        found = known.groupBy(leg).agg(F.min("id").alias("_found_id"))
+        open_key = F.when(F.col("existing_id").isNull(), key_of(names))
+        out = (
+            out.withColumn(leg, F.coalesce(open_key, spread)).join(found, leg, "left")
+            .withColumn("existing_id", F.coalesce("existing_id", "_found_id")).drop(leg, "_found_id")
+        )
+    return out
 
 
 def stale_without_event(listings: DataFrame, events: DataFrame, days: int = 45) -> DataFrame:

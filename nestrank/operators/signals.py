@@ -132,10 +132,11 @@ def tranquility(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     la, lo = F.col(lat), F.col(lon)
     staged = df.withColumn("_city", geo.coverage(la, lo))
     near = {
-        f"_near_{layer}": geo.nearest_in_city(F.col("_city"), lat, lon, layer)
+        f"_near_{layer}": geo.nearest_member(F.col("_city"), lat, lon, layer)
         for layer in ("street", "freeway", "fire")
     }
-    staged = staged.withColumns(near)
+    staged = staged.withColumns(near)  # a projection of its own: generated code, split into small methods
+    staged = staged.withColumns({name: geo.measured(F.col(name)) for name in near})
     street, freeway, fire = (F.col(c) for c in near)
     missing = la.isNull() | lo.isNull()
     inside = F.col("_city").isNotNull()
