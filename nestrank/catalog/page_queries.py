@@ -14,7 +14,7 @@ HREF = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"'']"
 
 @query(
     "page_links",
-    f"SELECT page_id, CAST(n - 1 AS INTEGER) AS pos, hrefs[n] AS href FROM (SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS hrefs FROM pages), range(1, 2000) t(n) WHERE n <= len(hrefs)",
+    f"SELECT page_id, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, unnest(hrefs) AS href FROM (SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS hrefs FROM pages)",
 )
 def page_links(spark, sf_dir):
     return PG.page_links(FX.table(spark, sf_dir, "pages"))
@@ -30,12 +30,6 @@ def canonical_page_urls(spark, sf_dir):
     return FX.table(spark, sf_dir, "pages").select("page_id", url.alias("url")).filter(F.col("url").isNotNull())
 
 
-@query("page_structured")
-def page_structured(spark, sf_dir):
-    out = PG.extract_page_listing(FX.pages_with_blocks(spark, sf_dir))
-    return out.select("page_id", "address", "price", "beds", "baths", "sqft", "lat", "lon", F.size("photos").alias("photos"))
-
-
 @query(
     "page_item_urls",
     "SELECT page_id, CAST(n AS INTEGER) AS pos, concat('https://example.com/', CASE n WHEN 0 THEN 'l/' ELSE 'm/' END, page_id) AS url FROM pages, range(0, 2) t(n) WHERE page_id % 4 = 1",

@@ -40,15 +40,16 @@ def build_session(
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one set on the
+    context, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
 
-    That is ``spark.checkpoint.dir`` or a folder set on the context; where neither is set, a
-    folder in the warehouse, which all executors share.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
