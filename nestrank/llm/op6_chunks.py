@@ -34,7 +34,7 @@ from nestrank.llm.common import mix64, slices, staged, texts
 from nestrank.llm.tokens import WordEncoder, encoder
 
 WINDOW, MASK_BITS, LEAST = 16, 11, 256
-_ODDS = mix64(np.arange(1, 257, dtype=np.uint64))
+_ODDS = mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
 
 def cuts(raw: bytes) -> list[int]:
@@ -48,13 +48,13 @@ def cuts(raw: bytes) -> list[int]:
     if size <= LEAST:
         return [size] if size else []
     data = np.frombuffer(raw, np.uint8)
-    value = _ODDS[data]
-    rolled = value.copy()
+    rolled = _ODDS[data]
     width = 1
     while width < WINDOW:  # doubling: each step joins two windows of half the width
-        rolled[width:] = rolled[width:] + (rolled[:-width] << np.uint64(width)) + (rolled[:-width] >> np.uint64(64 - width))
+        before = rolled[:-width]
+        rolled[width:] += (before << np.uint32(width)) + (before >> np.uint32(32 - width))
         width *= 2
-    marks = np.flatnonzero(((rolled >> np.uint64(20)) & np.uint64((1 << MASK_BITS) - 1)) == 0)
+    marks = np.flatnonzero(rolled < np.uint32(1 << (32 - MASK_BITS)))
     ends, last = [], 0
     for at in marks.tolist():
         end = at + 1
@@ -222,6 +222,8 @@ def _widened(packed: bytes) -> bytes:
 def _joined(tokenizer: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
+        pieces = coder.id_bytes()
+        digits = list(map(str, range(len(pieces))))
         for batch in (part for whole in batches for part in slices(whole, "body", 2 << 20)):
             given = batch.column("given").to_pylist()
             found = [(text, whole := _is_whole(text), _chunks(text, whole)) for _, text in _unpacked(batch)]
@@ -239,11 +241,11 @@ def _joined(tokenizer: str, with_ids: bool):
                     done.append(join_chunks(coder, chunks, [ids[i][p] for p in range(len(chunks))]) if chunks else b"")
                     ids[i] = {}
             lists = [np.frombuffer(x, "<u4").tolist() for x in done]
-            decoded = coder.library.decode_batch(lists, skip_special_tokens=False)
+            decoded = [b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in lists]
             columns = [
                 batch.column("key"),
                 pa.array(map(len, lists), pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists], pa.string()),
+                pa.array([hashlib.sha256(",".join(map(digits.__getitem__, x)).encode()).hexdigest() for x in lists], pa.string()),
                 pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in decoded], pa.string()),
             ]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]

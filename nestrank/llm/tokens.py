@@ -65,11 +65,27 @@ class WordEncoder:
         self.lowers = self.library.normalizer is not None
         self.find = re.compile(_WORD if self.lowers else _BYTE).findall
         self.words = _Table(limit)
+        self.pieces: list[bytes] | None = None
 
     @staticmethod
     def plain(text: str) -> bool:
+        if text.isascii():
+            return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
         return _ODD.search(text) is None
 
+    def id_bytes(self) -> list[bytes]:
+        """Bytes of every id of a byte-level vocabulary, built once a process: a piece spells
+        each byte as one character, and a piece with any other character stands for itself."""
+        if self.pieces is None:
+            shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+            hidden = [b for b in range(256) if b not in shown]
+            byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+            names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+            self.pieces = [
+                bytes(map(byte_of.__getitem__, n)) if all(map(byte_of.__contains__, n)) else n.encode("utf-8") for n in names
+            ]
+        return self.pieces
+
     def pre_tokens(self, text: str) -> list[str]:
         """Pre-tokens of a plain text."""
         return self.find(text.lower() if self.lowers else text)
@@ -102,7 +118,7 @@ class WordEncoder:
         return out
 
     def _encode(self, items: list[str]) -> list[bytes]:
-        plain = [_ODD.search(t) is None for t in items]
+        plain = [self.plain(t) for t in items]
         whole = iter(self.by_library([t for t, p in zip(items, plain, strict=True) if not p]))
         split = iter(self.word_ids([self.pre_tokens(t) for t, p in zip(items, plain, strict=True) if p]))
         return [next(split if p else whole) for p in plain]
