@@ -37,16 +37,11 @@ WINDOW, MASK_BITS, LEAST = 16, 11, 256
 _ODDS = mix64(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
 
-def cuts(raw: bytes) -> list[int]:
-    """Ends of the content-defined chunks of UTF-8 text; the last end is its length.
+def _marks(raw: bytes) -> np.ndarray:
+    """Places where the rolling hash of the ``WINDOW`` bytes up to there falls on a mark.
 
-    The hash of a window is the sum of its bytes' random numbers, each turned by its place: a
-    running sum over the text gives all of them at once. Cuts lie on ASCII bytes only and at
-    least ``LEAST`` bytes apart.
+    The hash of a window is the sum of its bytes' random numbers, each turned by its place.
     """
-    size = len(raw)
-    if size <= LEAST:
-        return [size] if size else []
     data = np.frombuffer(raw, np.uint8)
     rolled = _ODDS[data]
     width = 1
@@ -54,22 +49,49 @@ def cuts(raw: bytes) -> list[int]:
         before = rolled[:-width]
         rolled[width:] += (before << np.uint32(width)) + (before >> np.uint32(32 - width))
         width *= 2
-    marks = np.flatnonzero(rolled < np.uint32(1 << (32 - MASK_BITS)))
-    ends, last = [], 0
-    for at in marks.tolist():
-        end = at + 1
-        if end - last >= LEAST and end < size and data[end] < 128 and data[at] < 128:
-            ends.append(end)
-            last = end
-    return [*ends, size]
+    return np.flatnonzero(rolled < np.uint32(1 << (32 - MASK_BITS)))
 
 
-def _chunks(text: str, whole: bool) -> list[str]:
-    if whole or not text:
-        return [text] if text else []
-    raw = text.encode("utf-8")
-    ends = cuts(raw)
-    return [raw[a:b].decode("utf-8") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def cuts(raws: list[bytes]) -> list[list[int]]:
+    """Ends of the content-defined chunks of each UTF-8 text; the last end is its length.
+
+    Cuts lie on ASCII bytes only and at least ``LEAST`` bytes apart. The texts are hashed in
+    one row: a cut's window is shorter than ``LEAST``, so it never reaches into another text.
+    """
+    if not raws:
+        return []
+    starts = np.cumsum([0, *map(len, raws)])
+    row = b"".join(raws)
+    marks = _marks(row) if len(row) > LEAST else np.zeros(0, np.int64)
+    bounds = np.searchsorted(marks, starts).tolist()
+    places, found = marks.tolist(), []
+    for raw, start, low, high in zip(raws, starts.tolist(), bounds, bounds[1:]):
+        ends, last, size = [], 0, len(raw)
+        for mark in places[low:high]:
+            end = mark - start + 1
+            if end - last >= LEAST and end < size and raw[end] < 128 and raw[end - 1] < 128:
+                ends.append(end)
+                last = end
+        found.append([*ends, size] if size else [])
+    return found
+
+
+ROW = 1 << 15  # bytes hashed in one row; its arrays stay in the cache
+
+
+def _chunked(items: list[str]) -> Iterator[tuple[bool, list[str]]]:
+    """Of each text: does the library take it whole, and its chunks."""
+    low = 0
+    while low < len(items):
+        part, held = [], 0
+        while low < len(items) and (not part or held < ROW):
+            part.append(items[low])
+            held += len(items[low])
+            low += 1
+        whole = list(map(_is_whole, part))
+        raws = [b"" if w else t.encode("utf-8") for t, w in zip(part, whole, strict=True)]
+        for text, w, raw, ends in zip(part, whole, raws, cuts(raws), strict=True):
+            yield w, [text] if w else [raw[a:b].decode("utf-8") for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def _hash(chunk: str) -> bytes:
@@ -133,9 +155,10 @@ def _listed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, text_col):
                 keys, hashes = [], []
-                for text in texts(part, text_col):
+                items = list(texts(part, text_col))
+                for text, (_, chunks) in zip(items, _chunked(items), strict=True):
                     keys.append(hashlib.blake2b(text.encode("utf-8"), digest_size=16).digest())
-                    hashes.append(b"".join(map(_hash, _chunks(text, _is_whole(text)))))
+                    hashes.append(b"".join(map(_hash, chunks)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), pa.array(keys, pa.binary()), pa.array(hashes, pa.binary())], ["id", "key", "hashes"]
                 )
@@ -198,9 +221,7 @@ def _owned(tokenizer: str):
         coder = encoder(tokenizer)
         for batch in (part for whole in batches for part in slices(whole, "body", 2 << 20)):
             hashes, ids = [], []
-            for i, text in _unpacked(batch):
-                whole = _is_whole(text)
-                chunks = _chunks(text, whole)
+            for i, (whole, chunks) in enumerate(_chunked([text for _, text in _unpacked(batch)])):
                 own = [chunks[p] for p in batch.column("places")[i].as_py()]
                 hashes += map(_hash, own)
                 ids += _encode_chunk(coder, own, whole)
@@ -226,7 +247,8 @@ def _joined(tokenizer: str, with_ids: bool):
         digits = list(map(str, range(len(pieces))))
         for batch in (part for whole in batches for part in slices(whole, "body", 2 << 20)):
             given = batch.column("given").to_pylist()
-            found = [(text, whole := _is_whole(text), _chunks(text, whole)) for _, text in _unpacked(batch)]
+            items = [text for _, text in _unpacked(batch)]
+            found = [(text, whole, chunks) for text, (whole, chunks) in zip(items, _chunked(items), strict=True)]
             ids = [{g["place"]: _widened(g["ids"]) for g in some or ()} for some in given]
             done: list[bytes] = []
             for low in range(0, len(found), 128):
