@@ -10,9 +10,12 @@ with b the body and zero counts taken as one. Each node's sum adds its children'
 node with the largest sum holds the text; the smallest density on its path to the body is the
 threshold under which a part of it is left out together with everything it holds, as long as the
 part is mostly links. A node inside an ``article`` or ``main`` element stands for that whole
-element. Elements that never hold article text (scripts, forms, navigation, ...) and elements
-whose class, id or role names a menu, an advert, comments and the like end before the densities
-are counted.
+element. Elements that never hold article text (scripts, navigation, ...) end before the densities
+are counted. Forms and elements with a class, id or role that names a menu, an advert, comments and
+the like do too, unless they wrap the page: one that holds a ``main`` or the page's largest article
+stays, and so does one with most of the body's characters outside links where no article stands
+outside it. A section of comments stays only when next to nothing is left without it. Names count as
+whole tokens ("sidebar", "cookie-notice", "site-header"; not "has-sidebar" or "entry-header").
 
 Text: character references decoded, white space inside a block made one space and trimmed, blocks
 in page order joined by two line breaks.
@@ -27,6 +30,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,14 +48,21 @@ _INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 _NEVER = frozenset(
-    "head nav footer aside form button select dialog menu object audio video canvas map datalist fieldset title".split()
+    "head nav footer aside button select dialog menu object audio video canvas map datalist title".split()
 )
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|"
-    r"disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promotion|related|"
-    r"replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|complementary|"
-    r"contentinfo|search|alert)(?:$|[\s_-])",
-    re.I,
+_FORM = ("form", "fieldset")
+_COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+_HEADS = frozenset("header masthead banner".split())
+_NOISE = _COMMENTS | _HEADS | frozenset(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies footer menu modal "
+    "nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar signup skip social "
+    "sponsor sponsored subscribe toolbar complementary contentinfo search alert".split()
+)
+# Words that may stand beside one of these in a token; beside a head only the first list.
+_PLACES = frozenset("site global top bottom left right primary secondary".split())
+_PARTS = _PLACES | frozenset(
+    "area list wrap wrapper container box block section widget bar link links button buttons form inner body post posts "
+    "article articles entry page".split()
 )
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -60,12 +71,26 @@ _CLOSES = {
 _WHOLE = ("article", "main")
 
 
-def _noisy(name: str, attributes: str, within: bool) -> bool:
+def _kind(token: str, within: bool) -> int:
+    """2 for a token that names comments, 1 for other noise, 0 else; an article's own header is no noise."""
+    words = set(re.split("[-_]+", token.strip("-_")))
+    named = words & _NOISE
+    if not named or not words - named <= (_PLACES if named & _HEADS else _PARTS) or (within and named <= _HEADS):
+        return 0
+    return 2 if named & _COMMENTS else 1
+
+
+def _noisy(name: str, attributes: str, within: bool) -> int:
+    """0 for text, 1 for noise by name, 2 for comments, 3 for elements that never hold text."""
     if name in _NEVER or (name == "header" and not within):
-        return True
-    if not attributes or name in ("html", "body", *_WHOLE) and "comment" not in attributes:
-        return False
-    return any(_NOISE.search(next(filter(None, m.groups()), "")) for m in _NAMED.finditer(attributes))
+        return 3
+    kind = int(name in _FORM)
+    if not attributes or name in ("html", "body", "main"):
+        return kind
+    for m in _NAMED.finditer(attributes):
+        for token in next(filter(None, m.groups()), "").lower().split():
+            kind = max(kind, _kind(token, within))
+    return kind if name != "article" or kind == 2 else 0
 
 
 class _Page:
@@ -76,7 +101,10 @@ class _Page:
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.runs: list[tuple[int, int, str]] = []
         self.stack, self.block, self.muted, self.links = [0], 0, 0, 0
+        self.named: dict[int, int] = {}
         self._read(source)
+        if self.named:
+            self._mute()
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -142,8 +170,14 @@ class _Page:
         if name == "a":
             self.links += 1
             self.link_tags[node] = 1
-        if self.muted or _noisy(name, attributes, any(self.names[n] in _WHOLE for n in self.stack[:-1])):
+        if self.muted:
+            self.muted += 1
+            return
+        kind = _noisy(name, attributes, any(self.names[n] in _WHOLE for n in self.stack[:-1]))
+        if kind == 3:
             self.muted += 1
+        elif kind:
+            self.named[node] = kind
 
     def _close(self, name: str, walls: tuple[str, ...] = ()) -> None:
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -162,6 +196,38 @@ class _Page:
         del self.stack[depth:]
         self.muted = max(0, self.muted - gone)
 
+    def _mute(self) -> None:
+        """Take the text out of the noise elements, but for those that wrap what the page is about."""
+        count = len(self.names)
+        words, ends = [c - lc for c, lc in zip(self.chars, self.link_chars)], list(range(1, count + 1))
+        for node in range(count - 1, 0, -1):  # a node's descendants are the numbers up to its end
+            up = self.parents[node]
+            words[up] += words[node]
+            ends[up] = max(ends[up], ends[node])
+        whole = [n for n in range(count) if self.names[n] in _WHOLE and n not in self.named and words[n]]
+        largest = max(whole, key=lambda n: words[n], default=0)
+        mains = [n for n in whole if self.names[n] == "main"]
+        out, left, node = [], words[0], 1
+        while node < count:
+            kind, end = self.named.get(node, 0), ends[node]
+            wraps = node < largest < end or bisect(mains, node) < bisect(mains, end - 1)
+            if kind == 1 and not wraps or kind == 2 and wraps:
+                # without an article or main outside it, what holds most of the text is the page
+                wraps = 2 * words[node] > words[0] and all(node < n < end or n < node < ends[n] for n in whole)
+            if kind and not wraps:
+                out.append((node, end))
+                left -= words[node]
+                node = end
+            else:
+                node += 1
+        if 10 * left < words[0]:
+            return
+        gone = bytearray(count)
+        for node, end in out:
+            for n in range(node, end):
+                gone[n], self.chars[n], self.link_chars[n], self.tags[n] = 1, 0, 0, 1
+        self.runs = [run for run in self.runs if not gone[run[0]]]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Density of every node and the sum of its children's densities."""
         count = len(self.names)

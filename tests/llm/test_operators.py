@@ -410,6 +410,29 @@ def test_main_text(spark):
     assert extract(rows.limit(0)).count() == 0
 
 
+def test_main_text_keeps_wrappers_with_noise_names():
+    from nestrank.llm.op8_density import main_text
+
+    body = "Plain words of an article that go on for quite a while, as articles do. " * 3
+    p, want = f"<p>{body}</p>", body.strip()
+    for name in ("content has-sidebar", "no-sidebar", "header-fixed page", "search-results", "sidebar"):
+        assert main_text(f"<body><div class='{name}'><article>{p}</article></div></body>") == want, name
+        assert main_text(f"<body><div class='{name}'>{p}</div><div class=related>more</div></body>") == want, name
+    assert main_text(f"<body class='post comments-open'>{p}</body>") == want
+    for head in ("entry-header", "header"):
+        assert main_text(f"<body><article><div class='{head}'><h1>T</h1></div>{p}</article></body>") == f"T\n\n{want}"
+    form = "<div class=search-form>find</div><form>letter</form>"
+    assert main_text(f"<body><form id=all><h1>T</h1>{p}{form}</form></body>").startswith(f"T\n\n{want}")
+    assert main_text(f"<body><form id=all>{form}<fieldset><article>{p}</article></fieldset></form></body>") == want
+    # what is no wrapper still goes, also where it is longer than the text
+    for noise in ("<div class=sidebar>{}</div>", "<div id=comments><article class=comment-body>{}</article></div>",
+                  "<section class=comments-area><article>{}</article></section>", "<div class='ad-banner x'>{}</div>"):
+        assert main_text(f"<body><article>{p}</article>{noise.format(p * 3)}</body>") == want, noise
+    cards = "<div class=related-posts><article>one</article><article>two</article></div>"
+    assert main_text(f"<body><article>{p}</article>{cards}<div id=site-header>Name</div></body>") == want
+    assert main_text(f"<body><div>{p}</div><div id=comments>{p * 3}</div></body>") == want
+
+
 # pipeline
 
 
