@@ -520,3 +520,30 @@ for _args in (
     ("tranquility", "tranquility_score", "50", "CASE WHEN id % 7 <> 0 THEN CAST((id * 3) % 101 AS INT) END"),
 ):
     _sorted_signals(*_args)
+
+
+def _sorted_whole(mode: str, default: str, value: str, down: bool):
+    column = FL.SORTS[mode][0]
+
+    @query(
+        f"sort_{mode}_all",
+        f"WITH {S.RAW} SELECT id, coalesce(v, {default}) AS sort_value FROM (SELECT id, {value} AS v FROM raw) ORDER BY sort_value{' DESC' if down else ''}, id",
+    )
+    def run(spark, sf_dir):
+        rows = FX.raw_listings(spark, sf_dir).withColumn(column, F.expr(value))
+        return FL.sort_matches(rows, mode).select("id", FL.sort_value(mode).alias("sort_value"))
+
+    return run
+
+
+# every row, with the value that fixes its place; prices of every seventh row are missing
+_PRICE = "CASE WHEN id % 7 <> 0 THEN price END"
+for _whole in (
+    ("score", "0", "CASE WHEN id % 3 <> 0 THEN CAST(id % 101 AS DOUBLE) END", True),
+    ("price_low", "CAST('Infinity' AS DOUBLE)", _PRICE, False),
+    ("price_high", "0", _PRICE, True),
+    ("light", "50", "CASE WHEN id % 5 <> 0 THEN CAST(id % 101 AS INT) END", True),
+    ("tranquility", "50", "CASE WHEN id % 7 <> 0 THEN CAST((id * 3) % 101 AS INT) END", True),
+    ("newest", "999", "days_on_market", False),
+):
+    _sorted_whole(*_whole)

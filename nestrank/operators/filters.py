@@ -227,20 +227,28 @@ def workspace_filter(
     return df.filter(cond)
 
 
+SORTS = {  # mode: column, value where it is missing, descending
+    "score": ("match_score", 0.0, True),
+    "price_low": ("price", float("inf"), False),
+    "price_high": ("price", 0.0, True),
+    "light": ("light_potential_score", 50, True),
+    "tranquility": ("tranquility_score", 50, True),
+    "newest": ("days_on_market", 999, False),
+}
+
+
+def sort_value(mode: str) -> Column:
+    """What ``sort_matches`` compares, before the id."""
+    column, default, _ = SORTS[mode]
+    return F.coalesce(F.col(column), F.lit(default))
+
+
 def sort_matches(df: DataFrame, mode: str = "score") -> DataFrame:
-    """Six sort orders with their defaults for missing values, id last."""
-    def filled(column: str, value) -> Column:
-        return F.coalesce(F.col(column), F.lit(value))
-
-    orders = {
-        "score": filled("match_score", 0.0).desc(),
-        "price_low": filled("price", float("inf")).asc(),
-        "price_high": filled("price", 0.0).desc(),
-        "light": filled("light_potential_score", 50).desc(),
-        "tranquility": filled("tranquility_score", 50).desc(),
-        "newest": filled("days_on_market", 999).asc(),
-    }
-    return df.orderBy(orders[mode], F.col("id")) if mode in orders else df
+    """Six sort orders with their defaults for missing values, id last; every row stays."""
+    if mode not in SORTS:
+        return df
+    value = sort_value(mode)
+    return df.orderBy(value.desc() if SORTS[mode][2] else value.asc(), F.col("id"))
 
 
 def changes(events: DataFrame, listings: DataFrame, since: datetime | None = None, types: str | None = None, limit: int | None = 100) -> DataFrame:

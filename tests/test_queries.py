@@ -21,3 +21,11 @@ def con():
 def test_query_equals_sql(spark, con, name):
     status, note = compare(spark, con, SF_DIR, all_queries()[name], all_sql()[name])
     assert status == "ok", note
+
+
+@pytest.mark.parametrize("mode", ["score", "price_low", "price_high", "light", "tranquility", "newest"])
+def test_sorts_return_every_row_in_order(spark, con, mode):
+    name = f"sort_{mode}_all"
+    got = [r.id for r in all_queries()[name](spark, SF_DIR).collect()]
+    want = [r[0] for r in con.execute(all_sql()[name]).fetchall()]
+    assert got == want and len(got) == con.execute("SELECT count(*) FROM orders").fetchone()[0] > 500
