@@ -5,7 +5,8 @@ lowered). ``REGISTERS`` registers per set: register i is ``floor(1 - log_b x)``
 exponential variate x over the set, cut to 0 .. ``Q + 1``; registers of a union are the maxima
 of its parts' registers (``merge_registers``). Equal runs of ``ROWS`` registers make a bucket.
 
-1. Sets are grouped by a 128-bit digest; one representative stands for all equal sets.
+1. Sets are grouped by a 128-bit digest; one numbered node stands for all equal sets, so an id that
+   repeats with another text is another node. Numbers become smallest ids at the end.
 2. Every bucket proposes the pairs (smallest member, other member). A pair's similarity is
    estimated jointly by maximum likelihood from the counts of larger, smaller and equal
    registers; pairs more than six deviations under the threshold end here. The rest is
@@ -56,6 +57,13 @@ def shingle_set(text: str, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(mixed)
 
 
+def set_digest(hashes: np.ndarray) -> bytes | None:
+    """128-bit digest of a set; None for the empty set."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set; all zero for the empty set."""
     if not len(hashes):
@@ -99,8 +107,6 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, digest, sketch) of every row; digest and sketch are null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         known: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, text_col):
@@ -108,7 +114,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for text in texts(part, text_col):
                     hashes = shingle_set(text, known)
                     sizes.append(len(hashes))
-                    digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+                    digests.append(set_digest(hashes))
                     sketches.append(registers(hashes).tobytes() if len(hashes) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
@@ -122,7 +128,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, rep): one row per band of each representative."""
+    """(bucket, node): one row per band of each node."""
     band = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         if not batch.num_rows:
@@ -133,22 +139,29 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed = mix64(mixed + sketch[:, :, k].astype(np.uint64))
         at = np.repeat(np.arange(batch.num_rows), BANDS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(mixed.reshape(-1).view(np.int64)), batch.column("rep").take(pa.array(at))], ["bucket", "rep"]
+            [pa.array(mixed.reshape(-1).view(np.int64)), batch.column("node").take(pa.array(at))], ["bucket", "node"]
         )
 
 
 def _full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rep, hashes) of the given rows: the sorted shingle hashes as packed bytes."""
+    """(rep, digest, hashes) of the given rows: the sorted shingle hashes as packed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, text_col):
-                packed = [shingle_set(text, known).tobytes() for text in texts(part, text_col)]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(packed, pa.binary())], ["rep", "hashes"])
+                digests, packed = [], []
+                for text in texts(part, text_col):
+                    hashes = shingle_set(text, known)
+                    digests.append(set_digest(hashes))
+                    packed.append(hashes.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())],
+                    ["rep", "digest", "hashes"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.mapInArrow(run, f"rep {kind}, hashes binary")
+    return docs.mapInArrow(run, f"rep {kind}, digest binary, hashes binary")
 
 
 def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
@@ -218,50 +231,50 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
 
 def _cell_links(percent: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        reps, sides = rows.column("rep").combine_chunks(), np.array(rows.column("side").to_pylist())
+        nodes, sides = rows.column("node").combine_chunks(), np.array(rows.column("side").to_pylist())
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
         order = np.argsort(sides, kind="stable")
         left = [sets[i] for i in order if sides[i] == 0]
         right = [sets[i] for i in order if sides[i] == 1]
         inner = key[1].as_py() == key[2].as_py()
         edges = forest(left, None if inner else right, percent) if left and (inner or right) else []
-        ends = [reps.take(pa.array([order[e[k]] for e in edges], pa.int64())) for k in (0, 1)]
+        ends = [nodes.take(pa.array([order[e[k]] for e in edges], pa.int64())) for k in (0, 1)]
         return pa.table({"a": ends[0], "b": ends[1]})
 
     return run
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable), kept."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, n, digest, component_id, kept) of every row."""
     feats = staged(features(docs, id_col, text_col), "sketches")
-    kind = docs.schema[id_col].dataType.simpleString()
     reps = staged(
         feats.where("digest is not null and id is not null")
         .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "sets",
     )
-    rows = staged(reps.select("rep", "sketch").mapInArrow(_buckets, f"bucket long, rep {kind}"), "bands")
-    heads = rows.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = staged(rows.join(heads, "bucket").select("bucket", "rep", "head", "size"), "members")
-    pairs = members.where("rep != head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    rows = staged(reps.select("node", "sketch").mapInArrow(_buckets, "bucket long, node long"), "bands")
+    heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
+    members = staged(rows.join(heads, "bucket").select("bucket", "node", "head", "size"), "members")
+    pairs = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
-    wanted = members.select("rep").distinct()
+    wanted = members.select("node").distinct().join(reps.select("node", "rep"), "node").select("rep").distinct()
     own = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
-    # An id may repeat with another text: the digest picks the row whose set it is.
+    # An id may repeat with another text: the digest tells whose set it is.
     sets = staged(
         _full_sets(own.join(wanted, "rep", "left_semi"), "rep", "text")
-        .join(reps.select("rep", "n", "sketch"), "rep")
-        .where(F.length("hashes") == 8 * F.col("n"))
-        .dropDuplicates(["rep"]),
+        .join(reps.select("node", "rep", "digest", "sketch"), ["rep", "digest"])
+        .select("node", "hashes", "sketch")
+        .dropDuplicates(["node"]),
         "members-sets",
     )
     side = lambda x: sets.select(
-        F.col("rep").alias(x), F.col("hashes").alias(f"h{x}"), F.col("sketch").alias(f"k{x}")
+        F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("sketch").alias(f"k{x}")
     )
     star = staged(
         pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb", "ka", "kb")
-        .mapInArrow(_verifier(percent), f"a {kind}, b {kind}"),
+        .mapInArrow(_verifier(percent), "a long, b long"),
         "star",
     )
     first = min_labels(star, "first")
@@ -269,53 +282,85 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Buckets of three or more whose members are not yet in one component; equal member lists once.
     labelled = (
         members.where("size > 2")
-        .join(first, members.rep == first.node, "left")
-        .select("bucket", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        .join(first, "node", "left")
+        .select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
     )
     open_buckets = (
         labelled.groupBy("bucket")
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size"),
-            F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("signature"),
+            F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("signature"),
         )
         .where("low < high")
         .groupBy("signature", "size")
         .agg(F.min("bucket").alias("bucket"))
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     )
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     cells = (
-        members.select("bucket", "rep").join(open_buckets.select("bucket", "blocks"), "bucket")
+        members.select("bucket", "node").join(open_buckets.select("bucket", "blocks"), "bucket")
         .withColumn("block", block)
         .withColumn("other", F.explode(others))
         .select(
-            "bucket", "rep",
+            "bucket", "node",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
             (F.col("block") > F.col("other")).cast("int").alias("side"),
         )
-        .join(sets.select("rep", "hashes"), "rep")
+        .join(sets.select("node", "hashes"), "node")
     )
-    rest = cells.groupBy("bucket", "i", "j").applyInArrow(_cell_links(percent), f"a {kind}, b {kind}")
+    rest = cells.groupBy("bucket", "i", "j").applyInArrow(_cell_links(percent), "a long, b long")
     final = min_labels(star.union(rest), "final")
 
+    linked_nodes = staged(reps.select("node", "digest", "rep").join(final, "node"), "linked")
+    # Staged, so that both sides of the join on a large component are plain shuffles.
+    lows = staged(linked_nodes.groupBy("component").agg(F.min("rep").alias("low")), "lows")
+    low = linked_nodes.join(lows, "component").select("digest", "low")
     named = (
-        reps.select("digest", "rep").join(final, reps.rep == final.node, "left")
-        .select(F.col("digest").alias("set_digest"), F.coalesce("component", "rep").alias("component"))
+        reps.select("digest", "rep").join(low, "digest", "left")
+        .select(F.col("digest").alias("set_digest"), F.coalesce("low", "rep").alias("component"))
     )
     return feats.join(named, feats.digest == named.set_digest, "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
+        "id", "n", "digest",
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id")).alias("component_id"),
         F.when(F.col("id").isNull(), F.lit(True)).otherwise(F.coalesce("component", "id") == F.col("id")).alias("kept"),
     )
 
 
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable), kept."""
+    return _labelled(docs, id_col, text_col, percent).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept"
+    )
+
+
+def _digests(column: pa.Array) -> pa.Array:
+    known: dict[bytes, int] = {}
+    return pa.array([set_digest(shingle_set(x.as_py() or "", known)) for x in column], pa.binary())
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Rows of ``docs`` that stay, with all their columns: the smallest id of each component.
 
-    Rows that share an id stay or go together. At 80 percent a pair shares no bucket with
-    probability (1 - 0.8^7)^50 < 1e-5.
+    Where an id stands on different texts, each text is judged by itself. At 80 percent a pair shares
+    no bucket with probability (1 - 0.8^7)^50 < 1e-5.
     """
-    marks = components(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(marks, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    marks = staged(
+        _labelled(docs, id_col, text_col, percent)
+        .select(F.col("id").alias("_keep"), F.col("digest").alias("_digest"), "kept").distinct(),
+        "marks",
+    )
+    ids = marks.groupBy("_keep").agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
+    same = docs[id_col].eqNullSafe(F.col("_keep"))
+    stay = docs.join(ids.where("all"), same, "left_semi")
+    mixed = staged(ids.where("some and not all").select("_keep"), "mixed")
+    if mixed.isEmpty():
+        return stay
+    texts_of = docs.join(mixed, same, "left_semi").withColumn(
+        "_own", F.arrow_udf(_digests, "binary")(F.col(text_col).cast("string"))
+    )
+    good = marks.where("kept").join(mixed, "_keep", "left_semi")
+    parted = texts_of.join(
+        good, texts_of[id_col].eqNullSafe(good["_keep"]) & texts_of["_own"].eqNullSafe(good["_digest"]), "left_semi"
+    )
+    return stay.unionByName(parted.select(*docs.columns))

@@ -129,6 +129,23 @@ def test_near_dedup_edges(spark):
     assert components(documents(spark, [])).count() == 0
 
 
+def test_near_dedup_judges_texts_of_one_id_apart(spark):
+    from nestrank.llm.op10_setsketch import components, drop_near_duplicates
+
+    rows = []
+    for k in range(6):  # id 10k + 5: a near copy of 10k + 1, and a text that no other id has
+        base = shuffled_words(200, 50 + k)
+        near, unique = " ".join([*base[:-1], "end"]), " ".join(shuffled_words(196 if k % 2 else 150, 80 + k))
+        rows += [(10 * k + 1, " ".join(base)), (10 * k + 5, near), (10 * k + 5, unique), (10 * k + 7, unique + " tail")]
+    docs = documents(spark, rows)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in components(docs).collect())
+    assert got == sorted(x for k in range(0, 60, 10) for x in (
+        (k + 1, k + 1, True), (k + 5, k + 1, False), (k + 5, k + 5, True), (k + 7, k + 5, False)))
+    left = drop_near_duplicates(docs)
+    want = [row for at, row in enumerate(rows) if at % 4 in (0, 2)]
+    assert left.columns == docs.columns and sorted((r.doc_id, r.text) for r in left.collect()) == sorted(want)
+
+
 def test_registers_merge_and_estimate():
     from nestrank.llm.op10_setsketch import estimate, merge_registers, registers
 
