@@ -17,7 +17,8 @@ from a histogram of log10 p (bands x encodings x ``BINS`` rows at most), so no c
 sorted or gathered; the driver sees one bound per band and encoding, 12 numbers.
 
 Defined results: null counts as empty text; empty text has no spans; spans are code points, end
-exclusive; a random span inside or across a base span is left out; rows with null or repeated
+exclusive; base spans are cut out of a candidate, with one joining character (/ _ - + =) at each cut,
+and what remains in runs of 20 or more characters is tested run by run; rows with null or repeated
 ids are scanned one by one. Only ``id_col`` and ``text_col`` are read.
 """
 
@@ -189,6 +190,45 @@ def _band(size: Column) -> Column:
     return band
 
 
+def _mixed(x: Column) -> Column:
+    return x["hit"].rlike("[0-9]") | (x["hit"].rlike("[A-Z]") & x["hit"].rlike("[a-z]"))
+
+
+def _outside(x: Column) -> Column:
+    """Runs of 20 or more characters of the candidate ``x`` outside the base spans."""
+    def overlaps(b: Column) -> Column:
+        return (b["start"] < x["end"]) & (x["start"] < b["end"])
+
+    def step(acc: Column, b: Column) -> Column:
+        gap = F.struct(acc["at"].alias("start"), b["start"].alias("end"))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    def joiner(at: Column) -> Column:
+        return F.substring(x["hit"], (at - x["start"] + 1).cast("int"), F.lit(1)).rlike("[/_+=-]").cast("int")
+
+    gaps = F.aggregate(
+        F.filter("_base", overlaps),
+        F.struct(x["start"].alias("at"), F.expr("array()").cast("array<struct<start:bigint,end:bigint>>").alias("out")),
+        step,
+        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["end"].alias("end")))),
+    )
+    trimmed = F.transform(
+        F.filter(gaps, lambda g: g["end"] - g["start"] >= 20),
+        lambda g: F.struct(
+            (g["start"] + F.when(g["start"] > x["start"], joiner(g["start"])).otherwise(0)).alias("start"),
+            (g["end"] - F.when(g["end"] < x["end"], joiner(g["end"] - 1)).otherwise(0)).alias("end"),
+        ),
+    )
+    runs = F.transform(
+        F.filter(trimmed, lambda g: g["end"] - g["start"] >= 20),
+        lambda g: F.struct(
+            g["start"].alias("start"), g["end"].alias("end"),
+            F.substring(x["hit"], (g["start"] - x["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")).alias("hit"),
+        ),
+    )
+    return F.when(F.exists("_base", overlaps), runs).otherwise(F.array(x))
+
+
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_base`` (kind, start, end) and ``_tokens`` (start, end, encoding, size, logp)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -198,10 +238,7 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     access = _found(text, ACCESS_LONG, text.contains("AKIA"))
     hexes = _found(text, HEX_LONG, text.rlike("[0-9a-f]{24}"))
-    tokens = F.filter(
-        _found(text, CANDIDATE, text.rlike("[A-Za-z0-9+/_=-]{20}")),
-        lambda x: x["hit"].rlike("[0-9]") | (x["hit"].rlike("[A-Z]") & x["hit"].rlike("[a-z]")),
-    )
+    tokens = _found(text, CANDIDATE, text.rlike("[A-Za-z0-9+/_=-]{20}"))
 
     def tagged(found: Column, kind: int) -> Column:
         return F.transform(
@@ -210,17 +247,17 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     base = F.array_sort(F.concat(tagged(assign, 0), tagged(access, 1), tagged(hexes, 2)))
     return docs.withColumn("_base", base).withColumn("_found", tokens).withColumn(
+        "_runs", F.filter(F.flatten(F.transform("_found", _outside)), _mixed)
+    ).withColumn(
         "_tokens",
         F.filter(
             F.transform(
-                F.filter(
-                    "_found", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-                ),
+                "_runs",
                 lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["hit"]).alias("test")),
             ),
             lambda x: x["test"].isNotNull(),
         ),
-    ).drop("_found")
+    ).drop("_found", "_runs")
 
 
 def rejection_bounds(found: DataFrame, alpha: float = ALPHA) -> dict[tuple[str, int], float]:

@@ -212,6 +212,33 @@ def test_secrets_against_brute_force(spark):
     assert texts[203] == "[SECRET]" and texts[1] is None and texts[8] == LONG + "tail" and "abcdef123" not in texts[200]
 
 
+def test_secrets_joined_to_base_spans(spark):
+    from nestrank.llm.op9_query import _joined
+    from nestrank.llm.op9_random import redact_secrets, secret_spans
+
+    rng, rows, want = random.Random(9), [], {}
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for i in range(30):
+        token, join = "".join(rng.choice(letters) for _ in range(40)), "/_-+="[i % 5]
+        base = "AKIA" + "".join(rng.choice(letters[:26]) for _ in range(16)) if i % 2 else "%032x" % rng.getrandbits(128)
+        kind, n = ("access", 20) if i % 2 else ("hex", 32)
+        if i % 3 == 0:  # the token may also stand before, or on both sides
+            rows.append((i, f"é {token}{join}{base} end"))
+            want[i] = f"random:2:42,{kind}:43:{43 + n}"
+        elif i % 3 == 1:
+            rows.append((i, f"é {base}{join}{token} end"))
+            want[i] = f"{kind}:2:{2 + n},random:{3 + n}:{43 + n}"
+        else:
+            rows.append((i, f"é {token}{join}{base}{join}{token[::-1]} end"))
+            want[i] = f"random:2:42,{kind}:43:{43 + n},random:{44 + n}:{84 + n}"
+    rows.append((100, "AKIA" + "B" * 16 + "/short1A"))
+    docs = documents(spark, rows)
+    got = {r.doc_id: r.spans for r in secret_spans(docs).select("doc_id", _joined("spans").alias("spans")).collect()}
+    assert got[100] == "access:0:20" and sum(got[i] == want[i] for i in want) >= 27
+    texts = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert sum(texts[i] == f"é [SECRET]{'/_-+='[i % 5]}[SECRET] end" for i in want if i % 3 < 2) >= 18
+
+
 def test_secrets_of_empty_table(spark):
     from nestrank.llm.op9_random import redact_secrets, secret_spans
 
