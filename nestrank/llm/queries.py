@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "op7_query", "op10_query", "op9_query", "op3_query", "op1_query", "op5_query", "op8_query", "op4_query", "op6_query", "op2_query",
-    "op11_query",
+    "op11_query", "op12_query", "op13_query",
 )
 
 
