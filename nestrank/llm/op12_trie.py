@@ -62,7 +62,7 @@ def turn_codes(turns: DataFrame) -> DataFrame:
 def rebuilt(convs: DataFrame, group: int = 20, heads: int = 4) -> DataFrame:
     """Every conversation with its first h turns taken from the group's first conversation.
 
-    The group of c starts at c - c % ``group``; h is crc32(c) % ``heads``.  All of that turn list is
+    The group of c starts at c - c % ``group`` (the remainder has c's sign); h is crc32(c) % ``heads``.  All of that turn list is
     used if it is shorter, none if there is no such conversation.
     """
     first = convs.where(F.col("conv_id") % group == 0).select(
