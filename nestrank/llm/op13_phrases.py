@@ -7,10 +7,11 @@ without the first word) have reached the threshold, until it has been counted fo
 A phrase that appears at least ``min_count`` times has subphrases that do, so every such phrase is
 activated and counted exactly once over every shard.
 
-What tasks know of the state is one bitmap per length (who has reached the threshold, and who did
-so within the last cycle), of bounded size.  A false hit only counts a phrase too early or too
-long; the counts are joined with the exact rounds of both subphrases before they are added, so
-results do not depend on the bitmaps.  Phrases are keyed by their text, never by a hash.
+What tasks know of the state is one bitmap per round and length: which phrases reached the
+threshold in that round.  Bitmaps are built once and never change, so every task and round derives
+the same first round for a phrase; a false hit only starts a phrase's cycle earlier than need be,
+and its count is as exact.  Phrases are keyed by their text, never by a hash.  A phrase whose cycle
+ends below the threshold leaves the state.
 
 A block ends anywhere: the next one of that language starts with up to three words of context,
 which are not counted as ends, so a piece of any length is counted whole.  Counts are combined per
@@ -23,6 +24,7 @@ tables give no phrase; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +35,18 @@ from pyspark.sql import functions as F
 from nestrank.llm.common import mix64, staged
 
 LONGEST = 4
-SHARDS = 3
+SHARDS = 2
 BLOCK_WORDS = 1 << 19
 CHUNK = 1 << 15  # words added at once: fewer than a block has distinct words
 VOCABULARY = (1 << 16) - 1
-MIN_BITS, MAX_BITS = 1 << 18, 1 << 26  # of one bitmap: 32 KB to 8 MB
+MIN_BITS, MAX_BITS = 1 << 16, 1 << 26  # of one bitmap: 8 KB to 8 MB
 BREAK = b"\xff"  # between pieces; no UTF-8 text holds it
 _TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" "
 )
 
 BLOCKS = "shard int, lang string, skip int, vocabulary binary, ids binary"
-COUNTS = "lang string, n int, phrase string, a long"
+COUNTS = "lang string, n int, phrase string, since int, a long"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -115,7 +117,9 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
 _BLOCK_SCHEMA = pa.schema([
     ("shard", pa.int32()), ("lang", pa.string()), ("skip", pa.int32()), ("vocabulary", pa.binary()), ("ids", pa.binary()),
 ])
-_COUNT_SCHEMA = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+_COUNT_SCHEMA = pa.schema([
+    ("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("since", pa.int32()), ("a", pa.int64()),
+])
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -133,137 +137,132 @@ def _held(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def block_counts(row: dict, count_words: bool, reached: dict, recent: dict) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(length, phrases, counts) of one block; ``reached`` and ``recent`` are bitmaps by length."""
+NEVER = 1 << 20
+
+
+def _reached(bitmaps: list[tuple[int, np.ndarray]], hashes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """First round whose bitmap holds each hash, ``NEVER`` if none does."""
+    first = np.full(len(hashes), NEVER, dtype=np.int32)
+    for step, bitmap in sorted(bitmaps, key=lambda x: -x[0]):
+        first[_held(bitmap, hashes)] = step
+    first[~whole] = NEVER
+    return first
+
+
+def block_counts(row: dict, step: int, shards: int, bitmaps: dict) -> Iterator[tuple[int, list[bytes], int, np.ndarray]]:
+    """(length, phrases, first round of their cycle, counts) of one block scanned in round ``step``.
+
+    ``bitmaps`` has (round, bitmap) pairs by length.  Length 0 is the number of all words.
+    """
     names = [BREAK, *row["vocabulary"].split(b" ")] if row["vocabulary"] else [BREAK]
     ids, skip = np.frombuffer(row["ids"], dtype=np.uint16), row["skip"]
-    if count_words:
+    if step < shards:
         counts = np.bincount(ids[skip:], minlength=len(names))
         counts[0] = 0
         found = np.flatnonzero(counts)
-        yield 1, [names[i] for i in found.tolist()], counts[found]
+        yield 0, [b""], 0, counts.sum(keepdims=True)
+        yield 1, [names[i] for i in found.tolist()], 0, counts[found]
     hashes, codes = _word_hashes(names), ids.astype(np.uint64)
     gram = mix64(_start(row["lang"]) ^ hashes[ids])
     whole, ends = ids != 0, np.arange(len(ids))
     for n in range(2, LONGEST + 1):
-        if n - 1 not in reached:
+        if not bitmaps.get(n - 1):
             return
-        known = whole & _held(reached[n - 1], gram)
-        fresh = known & _held(recent[n - 1], gram)
+        reach = _reached(bitmaps[n - 1], gram, whole)
         # from grams of n-1 words at i to grams of n words at i
         last = ids[n - 1:]
         gram = mix64(gram[:-1] ^ hashes[last])
         codes = codes[:-1] | (last.astype(np.uint64) << np.uint64(16 * (n - 1)))
         whole = whole[:-1] & (last != 0)
         ends = ends[1:]
-        active = whole & known[:-1] & known[1:] & (fresh[:-1] | fresh[1:]) & (ends >= skip)
-        found, counts = np.unique(codes[active], return_counts=True)
-        columns = [((found >> np.uint64(16 * k)) & np.uint64(0xFFFF)).tolist() for k in range(n)]
-        yield n, [b" ".join(map(names.__getitem__, p)) for p in zip(*columns)], counts
+        since = np.maximum(reach[:-1], reach[1:]) + 1
+        for first in range(max(0, step - shards + 1), step + 1):
+            found, counts = np.unique(codes[(since == first) & whole & (ends >= skip)], return_counts=True)
+            columns = [((found >> np.uint64(16 * k)) & np.uint64(0xFFFF)).tolist() for k in range(n)]
+            yield n, [b" ".join(map(names.__getitem__, p)) for p in zip(*columns)], first, counts
 
 
-def _scan(batches: Iterator[pa.RecordBatch], count_words: bool, bitmaps) -> Iterator[pa.RecordBatch]:
-    reached, recent = bitmaps.value
+def _scan(batches: Iterator[pa.RecordBatch], step: int, shards: int, bitmaps) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            for n, phrases, counts in block_counts(row, count_words, reached, recent):
+            for n, phrases, since, counts in block_counts(row, step, shards, bitmaps.value):
                 if phrases:
                     yield pa.RecordBatch.from_arrays([
                         pa.repeat(row["lang"], len(phrases)), pa.repeat(pa.scalar(n, pa.int32()), len(phrases)),
-                        pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()),
+                        pa.array(phrases, pa.binary()).cast(pa.string()),
+                        pa.repeat(pa.scalar(since, pa.int32()), len(phrases)), pa.array(counts, pa.int64()),
                     ], schema=_COUNT_SCHEMA)
 
 
 def _bits(batches: Iterator[pa.RecordBatch], mask: int) -> Iterator[pa.RecordBatch]:
-    """(n, recent, slot, bits) of reached phrases."""
+    """(n, slot, bits) of phrases."""
     for batch in batches:
-        frame = batch.to_pydict()
-        rows = []
-        for lang, n, phrase, recent in zip(frame["lang"], frame["n"], frame["phrase"], frame["recent"]):
-            rows.append((lang, n, phrase.encode().split(b" "), recent))
-        for lang in {r[0] for r in rows}:
-            for n in range(1, LONGEST):
-                part = [r for r in rows if r[0] == lang and r[1] == n]
-                gram = np.broadcast_to(_start(lang), len(part))
-                for k in range(n):
-                    gram = mix64(gram ^ _word_hashes([r[2][k] for r in part]))
-                at = (gram & np.uint64(mask)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({
-                    "n": pa.repeat(pa.scalar(n, pa.int32()), len(part)), "recent": pa.array([r[3] for r in part], pa.bool_()),
-                    "slot": pa.array(at >> 6), "bits": pa.array(np.left_shift(np.int64(1), at & 63)),
-                })
-
-
-def _bitmaps(reached: DataFrame, sizes: dict[int, int], since: int):
-    """Two bitmaps by length: all that reached the threshold, and those in round ``since`` or later.
-
-    A bitmap has 16 bits a phrase up to ``MAX_BITS``; beyond that tasks count more than they need.
+        groups: dict = {}
+        for lang, n, phrase in zip(*(batch.column(c).to_pylist() for c in ("lang", "n", "phrase"))):
+            groups.setdefault((lang, n), []).append(phrase.encode().split(b" "))
+        for (lang, n), phrases in groups.items():
+            gram = np.broadcast_to(_start(lang), len(phrases))
+            for k in range(n):
+                gram = mix64(gram ^ _word_hashes([p[k] for p in phrases]))
+            at = (gram & np.uint64(mask)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "n": pa.repeat(pa.scalar(n, pa.int32()), len(phrases)), "slot": pa.array(at >> 6),
+                "bits": pa.array(np.left_shift(np.int64(1), at & 63)),
+            })
+
+
+def _bitmaps(reached: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """A bitmap by length of the given phrases: 16 bits a phrase up to ``MAX_BITS``.
+
+    The driver gets its words (``MAX_BITS`` / 64 rows a length at most); beyond that size tasks
+    count more phrases than they need.
     """
-    most = max(sizes.values(), default=0)
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * most).bit_length()))
-    rows = reached.select("lang", "n", "phrase", (F.col("reach") >= since).alias("recent")).mapInArrow(
-        lambda it: _bits(it, bits - 1), "n int, recent boolean, slot long, bits long"
-    ).groupBy("n", "recent", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    whole = {n: np.zeros(bits // 64, dtype=np.uint64) for n in sizes}
-    late = {n: np.zeros(bits // 64, dtype=np.uint64) for n in sizes}
-    columns = [rows.column(c).to_numpy() for c in ("n", "recent", "slot", "bits")]
-    for n in sizes:
-        for target, wanted in ((whole, (True, False)), (late, (True,))):
-            for kind in wanted:
-                here = (columns[0] == n) & (columns[1] == kind)
-                target[n][columns[2][here]] |= columns[3][here].view(np.uint64)
-    return whole, late
+    bits = min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(sizes.values())).bit_length()))
+    rows = reached.select("lang", "n", "phrase").mapInArrow(
+        lambda it: _bits(it, bits - 1), "n int, slot long, bits long"
+    ).groupBy("n", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    n, slot, held = (rows.column(c).to_numpy() for c in ("n", "slot", "bits"))
+    out = {}
+    for length in sizes:
+        out[length] = np.zeros(bits // 64, dtype=np.uint64)
+        out[length][slot[n == length]] = held[n == length].view(np.uint64)
+    return out
 
 
 def phrase_counts(
     docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 30, shards: int = SHARDS
 ) -> DataFrame:
-    """(lang, n, phrase, a, reach): exact counts of all words, and of all longer phrases that appear
-    ``min_count`` times or more (among others); ``reach`` is null below that count."""
-    spark = docs.sparkSession
+    """(lang, n, phrase, a): exact counts of all phrases of up to ``LONGEST`` words that appear
+    ``min_count`` times or more, and of all words of a language as the empty phrase (n = 0)."""
+    context = docs.sparkSession.sparkContext
     plain = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     blocks = staged(plain.mapInArrow(lambda it: _pack(it, shards), BLOCKS), "op13-blocks", "shard")
-    totals, sizes, last, step = None, {}, -1, 0
+    bitmaps: dict[int, list] = {n: [] for n in range(1, LONGEST)}
+    key, open_rows, done, last, step = ("lang", "n", "phrase", "since"), None, [], -1, 0
+    ended = F.col("since") + shards
     while step < shards or step <= last + shards:
-        done = None if totals is None else totals.where((F.col("n") < LONGEST) & F.col("reach").isNotNull())
-        shared = spark.sparkContext.broadcast(_bitmaps(done, sizes, step - shards) if sizes else ({}, {}))
-        count_words = step < shards
+        shared = context.broadcast(bitmaps)
         scanned = blocks.where(F.col("shard") == step % shards).mapInArrow(
-            lambda it, shared=shared, words=count_words: _scan(it, words, shared), COUNTS
-        ).groupBy("lang", "n", "phrase").agg(F.sum("a").alias("a"))
+            lambda it, shared=shared, step=step: _scan(it, step, shards, shared), COUNTS
+        ).withColumn("reach", F.lit(None).cast("int"))
+        both = scanned if open_rows is None else open_rows.unionByName(scanned)
+        reach = F.coalesce("reach", F.when(F.col("a") >= min_count, F.lit(step)))
+        state = both.groupBy(*key).agg(F.sum("a").alias("a"), F.min("reach").alias("reach")).withColumn("reach", reach)
+        over = ended <= step + 1  # the cycle ends with this round; what is too rare by then goes
+        state = staged(state.where(~over | (F.col("a") >= min_count) | (F.col("n") == 0)), "op13-state")
+        open_rows, new = state.where(~over), state.where((F.col("reach") == step) & F.col("n").between(1, LONGEST - 1))
+        done.append(state.where(over))
+        sizes = {r.n: r["count"] for r in new.groupBy("n").count().collect()}  # a row a length
         if sizes:
-            scanned = staged(scanned, "op13-scan")
-            scanned = scanned.where("n = 1").union(_active(scanned.where("n > 1"), done, step, shards))
-        scanned = scanned.withColumn("reach", F.lit(None).cast("int"))
-        both = scanned if totals is None else totals.unionByName(scanned)
-        summed = both.groupBy("lang", "n", "phrase").agg(F.sum("a").alias("a"), F.min("reach").alias("reach"))
-        totals = staged(summed.withColumn(
-            "reach", F.coalesce("reach", F.when(F.col("a") >= min_count, F.lit(step)))
-        ), "op13-totals")
-        state = totals.where((F.col("n") < LONGEST) & F.col("reach").isNotNull()).groupBy("n").agg(
-            F.count("*").alias("size"), F.max("reach").alias("reach")
-        ).collect()  # a row a length
-        sizes, last = {r.n: r["size"] for r in state}, max((r.reach for r in state), default=-1)
+            last = step
+            for n, bitmap in _bitmaps(new, sizes).items():
+                bitmaps[n].append((step, bitmap))
         shared.unpersist()
         step += 1
-    return totals
-
-
-def _active(scanned: DataFrame, done: DataFrame, step: int, shards: int) -> DataFrame:
-    """Counts of phrases inside their own cycle, by the rounds in which both subphrases got there."""
-    def subphrase(column: str, alias: str) -> DataFrame:
-        return done.select("lang", F.col("phrase").alias(column), F.col("reach").alias(alias))
-
-    cut = scanned.withColumns({
-        "head": F.expr("substring_index(phrase, ' ', n - 1)"),
-        "rest": F.expr("substring(phrase, instr(phrase, ' ') + 1)"),
-    })
-    both = cut.join(subphrase("head", "_r"), ["lang", "head"]).join(subphrase("rest", "_s"), ["lang", "rest"])
-    since = F.greatest("_r", "_s") + 1
-    return both.where((since <= step) & (F.lit(step) < since + shards)).select("lang", "n", "phrase", "a")
+    return reduce(DataFrame.union, done).drop("since", "reach")
 
 
 def collocations(
@@ -275,8 +274,8 @@ def collocations(
     A phrase scores floor(2,000,000 a / (l + r)) at its worst cut; it goes if a longer candidate
     holds it and has at least ``cover`` percent of its count.
     """
-    totals = phrase_counts(docs, text, lang, min_count, shards)
-    found = totals.where(F.col("reach").isNotNull())
+    totals = staged(phrase_counts(docs, text, lang, min_count, shards), "op13-totals")
+    found = totals.where("n > 0")
     candidates = found.where("n > 1").select("lang", "n", "phrase", "a")
     exact = "decimal(20,0)"
 
@@ -302,7 +301,7 @@ def collocations(
         Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     )
     ranked = worst.select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("rank", rank).where(F.col("rank") <= limit)
-    words = totals.where("n = 1").groupBy("lang").agg(F.sum("a").alias("n"))
+    words = totals.where("n = 0").select("lang", F.col("a").alias("n"))
     return ranked.join(words, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score")
     )

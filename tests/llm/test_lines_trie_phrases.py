@@ -279,11 +279,13 @@ def test_phrases_across_blocks_and_false_hits(spark):
         op.BLOCK_WORDS = old
     import numpy as np
 
-    full = {n: np.full(64, 2**64 - 1, dtype=np.uint64) for n in (1, 2, 3)}
+    full = {n: [(0, np.full(64, 2**64 - 1, dtype=np.uint64))] for n in (1, 2, 3)}
     got = collections.Counter()
     for row in rows:
-        for _, phrases, counts in op.block_counts(row, True, full, full):
-            got.update(dict(zip(phrases, counts.tolist())))
+        for step in (0, 1):  # one shard: words in the first round, longer phrases in the second
+            for _, phrases, since, counts in op.block_counts(row, step, 1, full if step else {}):
+                assert since == step
+                got.update(dict(zip(phrases, counts.tolist())))
     assert got[b"new york city hall"] == 40 and got[b"of the"] == 40 and got[b"a b c"] == 40 and got[b"the"] == 40
     assert b"hall of" not in got and b"the a" not in got
 
