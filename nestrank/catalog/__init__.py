@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("text_queries", "score_queries", "data_queries", "log_queries", "page_queries", "store_queries")
+MODULES = ("text_queries", "score_queries", "data_queries", "log_queries", "page_queries", "store_queries", "many_queries")
 
 
 def _load():

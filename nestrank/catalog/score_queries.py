@@ -439,6 +439,31 @@ def criteria_matches(spark, sf_dir):
     )
 
 
+# Sale prices: most listings between a half and four million, a ninth at one asking price.
+SALE = "CASE WHEN id % 9 = 4 THEN CAST(1250000 AS DOUBLE) ELSE least(CAST(4000000 AS DOUBLE), price * 900) END"
+BUYERS = {
+    **FX.CRITERIA_EXPRS,
+    "price_min": "CASE WHEN c_custkey % 3 = 0 THEN CAST(500000 + 1000 * (c_custkey % 900) AS DOUBLE) END",
+    "price_max": "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(700000 + 2200 * (c_custkey % 1500) AS DOUBLE) END",
+    "beds_min": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(2 + c_custkey % 3 AS INT) END",
+}
+
+
+@query(
+    "criteria_matches_buy",
+    f"WITH {S.LISTINGS}, sale AS (SELECT id, beds, baths, sqft, has_natural_light_keywords, {SALE} AS price FROM fx), "
+    f"crit AS ({FX.select_sql(BUYERS, 'customer')}) SELECT c.id AS criteria_id, count(*) AS listings, min(l.price) AS cheapest, "
+    f"max(l.price) AS dearest, min(l.id) AS first_id FROM crit c JOIN sale l ON {CRIT_COND} GROUP BY c.id",
+)
+def criteria_matches_buy(spark, sf_dir):
+    facts = FX.listings(spark, sf_dir).selectExpr("id", "beds", "baths", "sqft", "has_natural_light_keywords", f"{SALE} AS price")
+    buyers = FX.table(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in BUYERS.items()])
+    return J.criteria_matches(facts, buyers).groupBy("criteria_id").agg(
+        F.count(F.lit(1)).alias("listings"), F.min("price").alias("cheapest"), F.max("price").alias("dearest"),
+        F.min("listing_id").alias("first_id"),
+    )
+
+
 @query(
     "criteria_filter",
     f"WITH {S.LISTINGS} SELECT id, price FROM fx WHERE price >= 2000 AND price <= 9000 AND beds >= 3 AND baths >= 1.5 AND has_natural_light_keywords",

@@ -54,9 +54,14 @@ def hit_score(count: Column) -> Column:
     return F.least(F.lit(10.0), count * F.lit(2.5))
 
 
-def scaled(score: Column, factor: float) -> Column:
+def _number(value: float | Column) -> Column:
+    """A profile's number: a literal, or a column where profiles are rows."""
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def scaled(score: Column, factor: float | Column) -> Column:
     """Score times a profile multiplier, capped at ten."""
-    return F.least(F.lit(10.0), score * F.lit(float(factor)))
+    return F.least(F.lit(10.0), score * _number(factor))
 
 
 def floored(score: Column, cond: Column, low: float) -> Column:
@@ -64,9 +69,9 @@ def floored(score: Column, cond: Column, low: float) -> Column:
     return F.greatest(score, F.when(cond, F.lit(low)))
 
 
-def factor(cond: Column, value: float) -> Column:
+def factor(cond: Column, value: float | Column) -> Column:
     """Multiplier that is one unless the condition holds."""
-    return F.when(cond, F.lit(float(value))).otherwise(F.lit(1.0))
+    return F.when(cond, _number(value)).otherwise(F.lit(1.0))
 
 
 def mentions(arr: Column, count: int, word: str = "mentions") -> Column:
@@ -185,14 +190,12 @@ def street_hits(address: Column, streets) -> Column:
 
 def location_parts(p: Profile) -> dict[str, Column]:
     """Conditions behind the location adjustment, each a boolean."""
-    mods = p.location_modifiers or {}
-    conditions = set(mods.get("penalize_conditions") or [])
     exposed = _c("_f_busy_street") | (F.size("_bad_streets") > 0)
     return {
-        "nightlife": F.lit("adjacent_to_bar" in conditions)
+        "nightlife": F.lit(p.penalizes("adjacent_to_bar"))
         & (_has("_n_location_noise") | _rule("nightlife")),
-        "thoroughfare": F.lit("on_major_thoroughfare" in conditions) & exposed,
-        "first_floor": F.lit("first_floor_busy_street" in conditions)
+        "thoroughfare": F.lit(p.penalizes("on_major_thoroughfare")) & exposed,
+        "first_floor": F.lit(p.penalizes("first_floor_busy_street"))
         & exposed
         & _rule("low_floor"),
     }

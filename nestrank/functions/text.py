@@ -10,6 +10,7 @@ short texts and seven times on long ones, and everything stays in the JVM.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Mapping, Sequence
@@ -29,11 +30,19 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def constant(value, kind: str) -> Column:
+    """A nested literal as one JSON text, which the optimizer folds into a single literal.
+
+    Written out with ``array`` and ``map`` the same table is thousands of tree nodes, and every
+    rule of the planner walks them again.
+    """
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
 def terms_array(terms: Sequence[str]) -> Column:
-    """Literal array; one SQL text is one call to the JVM, not one per term."""
     if not terms:
         return F.array().cast("array<string>")
-    return F.expr(f"array({', '.join(quoted(t) for t in terms)})")
+    return constant(list(terms), "array<string>")
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
@@ -134,12 +143,10 @@ class TermIndex:
         none = F.array().cast("array<array<bigint>>")
         if not self.terms:
             return none
-        buckets: list[list[str]] = [[] for _ in range(self.BUCKETS)]
+        buckets: list[dict[str, list[int]]] = [{} for _ in range(self.BUCKETS)]
         for term, row in self.table.items():
-            cells = ", ".join(f"bigint('{self._signed(m)}')" for m in row)
-            buckets[zlib.crc32(term.encode()) % self.BUCKETS] += [quoted(term), f"array({cells})"]
-        empty = "map('', array(bigint('0')))"
-        table = F.expr(f"array({', '.join('map(' + ', '.join(b) + ')' if b else empty for b in buckets)})")
+            buckets[zlib.crc32(term.encode()) % self.BUCKETS][term] = [self._signed(m) for m in row]
+        table = constant(buckets, "array<map<string,array<bigint>>>")
         found = F.array_distinct(longest_terms(text, self.terms))
         return F.transform(
             found,
@@ -191,8 +198,7 @@ def scan(text: Column, terms: Sequence[str]) -> Column:
     nested = {t: inner for t, inner in nested_terms(unique).items() if len(inner) > 1}
     if not nested:
         return longest
-    cells = ", ".join(f"{quoted(t)}, array({', '.join(map(quoted, inner))})" for t, inner in nested.items())
-    table = F.expr(f"map({cells})")
+    table = constant(nested, "map<string,array<string>>")
     return F.array_distinct(
         F.flatten(F.transform(longest, lambda t: F.coalesce(F.element_at(table, t), F.array(t))))
     )

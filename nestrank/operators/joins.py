@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nestrank.operators.intervals import CELLS, stab_join
+
 
 def change_feed(events: DataFrame, listings: DataFrame) -> DataFrame:
     """Every event with address, price and url of its listing."""
@@ -100,42 +102,23 @@ def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return df.join(dim, key, "left")
 
 
-def criteria_matches(listings: DataFrame, criteria: DataFrame, price_step: float = 500.0, price_buckets: int = 40) -> DataFrame:
-    """All (criteria, listing) pairs that match: a range join on buckets.
+def criteria_matches(listings: DataFrame, criteria: DataFrame, cells: int = CELLS) -> DataFrame:
+    """All (criteria, listing) pairs that match: prices stab the price ranges, the rest is tested.
 
-    A listing has one (beds, price bucket) cell.  A criteria row is repeated for the cells
-    its ranges touch, at most 8 x (price_buckets + 2), so the pair test is an equi join
-    whose residual checks the exact limits.  Neither side is broadcast unchecked and
-    adaptive execution splits hot cells.
+    Cells of the price follow its quantiles, so they hold like numbers of listings at any price
+    level, and a price that many listings share is spread (see ``intervals``).  A row of criteria
+    is repeated for the cells its range touches, in proportion to the listings in it.
     """
     from nestrank.operators.filters import criteria_condition
 
-    top_beds = 6
-
-    def bed_cell(c: Column) -> Column:
-        return F.coalesce(F.least(F.greatest(c.cast("int"), F.lit(0)), F.lit(top_beds)), F.lit(-1))
-
-    def price_cell(c: Column) -> Column:
-        cell = F.floor(c / F.lit(price_step)).cast("int")
-        return F.coalesce(F.least(F.greatest(cell, F.lit(0)), F.lit(price_buckets)), F.lit(-1))
-
-    spans = criteria
-    for name, kind in (("price_min", "double"), ("price_max", "double"), ("beds_min", "int")):
-        if name not in spans.columns:
-            spans = spans.withColumn(name, F.lit(None).cast(kind))
-    low_bed = F.when(F.col("beds_min").isNull(), F.lit(-1)).otherwise(bed_cell(F.col("beds_min")))
-    no_price = F.col("price_min").isNull() & F.col("price_max").isNull()
-    low = F.when(no_price, F.lit(-1)).otherwise(price_cell(F.coalesce("price_min", F.lit(0.0))))
-    high = F.when(F.col("price_max").isNull(), F.lit(price_buckets)).otherwise(price_cell(F.col("price_max")))
-    cells = (
-        spans.filter(low <= high)
-        .withColumn("_bed", F.explode(F.sequence(low_bed, F.lit(top_beds))))
-        .withColumn("_cell", F.explode(F.sequence(low, high)))
-    )
-    left = listings.withColumns({"_bed": bed_cell(F.col("beds")), "_cell": price_cell(F.col("price"))})
-    c = {name: cells[name] for name in criteria.columns}
-    l = {name: left[name] for name in listings.columns}
-    cond = (left["_bed"] == cells["_bed"]) & (left["_cell"] == cells["_cell"]) & criteria_condition(c, l)
-    picked = [c[n] if n != "id" else c[n].alias("criteria_id") for n in criteria.columns]
-    picked += [l[n] if n != "id" else l[n].alias("listing_id") for n in listings.columns if n not in criteria.columns or n == "id"]
-    return left.join(cells, cond).select(*picked)
+    def limit(name: str) -> Column:
+        return F.col(f"_c.{name}") if name in criteria.columns else F.lit(None).cast("double")
+
+    points = listings.select(F.struct("*").alias("_l")).withColumn("_price", F.col("_l.price"))
+    spans = criteria.select(F.struct("*").alias("_c")).withColumns({"_low": limit("price_min"), "_high": limit("price_max")})
+    c = {name: F.col("_c")[name] for name in criteria.columns}
+    l = {name: F.col("_l")[name] for name in listings.columns}
+    picked = [c[n].alias("criteria_id" if n == "id" else n) for n in criteria.columns]
+    picked += [l[n].alias("listing_id" if n == "id" else n) for n in listings.columns if n not in criteria.columns or n == "id"]
+    pairs = stab_join(points, spans, "_price", "_low", "_high", cells)
+    return pairs.where(criteria_condition(c, l)).select(*picked)

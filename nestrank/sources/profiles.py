@@ -53,6 +53,9 @@ class Profile:
         payload = (self.nlp_signals.get(polarity) or {}).get(group) or {}
         return float(payload.get("weight", 1.0))
 
+    def penalizes(self, condition: str) -> bool:
+        return condition in (self.location_modifiers.get("penalize_conditions") or [])
+
     @property
     def neighborhoods(self) -> list[str]:
         return [n for n in self.hard_filters.get("neighborhoods") or [] if isinstance(n, str)]
@@ -96,18 +99,32 @@ def load_profile(path: str, **kwargs) -> Profile:
         return compile_profile(parse_profile_text(handle.read(), path), **kwargs)
 
 
-def profile_tables(spark: SparkSession, profiles: Mapping[str, Mapping[str, Any]]) -> dict[str, DataFrame]:
-    """Long tables of many profiles, one row per weight, keyword, street and filter."""
+TABLES = {
+    "profile_weights": "profile_id string, ord int, criterion string, weight double",
+    "profile_keywords": "profile_id string, polarity string, grp string, ord int, keyword string, grp_weight double",
+    "profile_streets": "profile_id string, kind string, ord int, street string",
+    "profile_filters": "profile_id string, section string, name string, value double, item string",
+}
+
+
+def profile_tables(spark: SparkSession, profiles: Mapping[str, Mapping[str, Any] | Profile]) -> dict[str, DataFrame]:
+    """Long tables of many profiles, one row per weight, keyword, street and filter.
+
+    A group without keywords keeps its weight in a row whose keyword is null, and the mode is a
+    filter row, so the tables hold all that scoring reads.
+    """
     weights, words, streets, filters = [], [], [], []
     for pid, data in profiles.items():
-        profile = compile_profile(data)
+        profile = data if isinstance(data, Profile) else compile_profile(data)
+        filters.append((pid, "mode", "mode", None, profile.mode))
         weights += [
             (pid, i, c, float(w)) for i, (c, w) in enumerate(profile.weights.items())
         ]
         for polarity in ("positive", "negative"):
-            for grp, terms in profile.groups(polarity).items():
+            found = profile.groups(polarity)
+            for grp in profile.nlp_signals.get(polarity) or {}:
                 mult = profile.multiplier(polarity, grp)
-                words += [(pid, polarity, grp, i, t, mult) for i, t in enumerate(terms)]
+                words += [(pid, polarity, grp, i, t, mult) for i, t in enumerate(found.get(grp) or [None])]
         for kind in ("boost_streets", "penalize_streets", "penalize_conditions"):
             streets += [
                 (pid, kind, i, s)
@@ -120,22 +137,8 @@ def profile_tables(spark: SparkSession, profiles: Mapping[str, Mapping[str, Any]
         filters += [
             (pid, "hard_filters", "neighborhoods", None, n) for n in profile.neighborhoods
         ]
-    make = spark.createDataFrame
-    return {
-        "profile_weights": make(
-            weights, "profile_id string, ord int, criterion string, weight double"
-        ),
-        "profile_keywords": make(
-            words,
-            "profile_id string, polarity string, grp string, ord int, keyword string, "
-            "grp_weight double",
-        ),
-        "profile_streets": make(streets, "profile_id string, kind string, ord int, street string"),
-        "profile_filters": make(
-            filters,
-            "profile_id string, section string, name string, value double, item string",
-        ),
-    }
+    rows = (weights, words, streets, filters)
+    return {name: spark.createDataFrame(part, kind) for part, (name, kind) in zip(rows, TABLES.items())}
 
 
 def read_profiles(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFrame]:
