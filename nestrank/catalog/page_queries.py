@@ -56,6 +56,23 @@ def page_app_state(spark, sf_dir):
     return PG.extract_embedded(FX.pages_with_blocks(spark, sf_dir)).select("page_id", "address", "price", "beds", "baths", "sqft")
 
 
+# A state block per page: two equal objects, the later one under the smaller name, at a depth by page.
+STATE_PAGE = (
+    "concat('<script>window.__INITIAL_STATE__ = ', repeat('{\"k\":', CAST(page_id % 10 AS INT)), '{\"z\":{\"address\":\"first ', page_id, "
+    "'\",\"price\":1,\"beds\":2},\"a\":{\"address\":\"second ', page_id, '\",\"price\":', page_id + 1000, "
+    "',\"beds\":\"{beds}\"}}', repeat('}', CAST(page_id % 10 AS INT)), ';</script>', html)"
+)
+
+
+@query(
+    "page_state_depth",
+    "SELECT page_id, concat('second ', page_id) AS address, CAST(page_id + 1000 AS DOUBLE) AS price FROM pages WHERE page_id % 10 <= 7",
+)
+def page_state_depth(spark, sf_dir):
+    pages = FX.table(spark, sf_dir, "pages").selectExpr("page_id", f"{STATE_PAGE} AS html")
+    return PG.extract_embedded(pages).select("page_id", "address", "price")
+
+
 @query(
     "detail_text",
     "SELECT doc_id, coalesce(regexp_matches(t, 'parking|garage'), FALSE) AS parking, coalesce(regexp_matches(t, '\\bgym\\b|fitness'), FALSE) AS gym, "

@@ -112,8 +112,8 @@ def with_signal_failures(df: DataFrame, p: Profile, name: str = "signal_failures
 def signal_filter(df: DataFrame, p: Profile) -> DataFrame:
     """Drop listings with a disqualifying text or location signal.
 
-    Flags and place come first; the text is scanned once for the gate terms only, and
-    ``let`` keeps that one scan from being copied when the filter is pushed down.
+    Flags and place come first, then one scan of the text for the gate terms.  The verdict is
+    sealed: a filter pushed below the flags would carry a copy of their text scan for each flag.
     """
     df = _complete(df)
     keep = F.lit(True)
@@ -130,7 +130,15 @@ def signal_filter(df: DataFrame, p: Profile) -> DataFrame:
             test = test & ~cond
         return test
 
-    return df.filter(keep & let(index.masks(lowered(F.col("description"))), clean))
+    verdict = keep & let(index.masks(lowered(F.col("description"))), clean)
+    return df.select(*df.columns, sealed({"_keep": verdict})).filter("_keep").drop("_keep")
+
+
+def staged_verdict(p: Profile) -> Column:
+    """The same test on columns that ``signals.stage`` has added: no scan of its own."""
+    last = F.col("_f_no_pets") | (F.col("_k_n_no_pets") > 0) if p.mode == "rent" else F.col("_r_no_parking")
+    loud = F.coalesce(F.col("_quiet") < 40, F.lit(False))
+    return ~((F.col("_k_n_dark") > 0) | F.col("_f_busy_street") | loud | F.col("_r_layout_bad") | last)
 
 
 # Criteria column -> (listing column, which side bounds).  Fixed values.

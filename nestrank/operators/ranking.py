@@ -169,13 +169,21 @@ def candidates(df: DataFrame, p: Profile) -> DataFrame:
     return FL.signal_filter(FL.hard_filter(df, p), p)
 
 
+def candidate_points(df: DataFrame, p: Profile) -> DataFrame:
+    """Candidates with their points: limits in the scan, then one scan of each text for both the
+    disqualifying signals and the score."""
+    staged = stage(FL.hard_filter(df, p), p)
+    values = {"points": SC.total_points(p), "_keep": FL.staged_verdict(p)}
+    return staged.select(*df.columns, sealed(values)).where("_keep").drop("_keep")
+
+
 def top_points(df: DataFrame, p: Profile, limit: int = 100, min_score: float = 0.0) -> DataFrame:
     """The best ``limit`` candidates by points, then the percent threshold.
 
     Percent grows with points, so cutting before or after the limit keeps the same
     rows; after it, the filter cannot be pushed down and score the row twice.
     """
-    top = with_points(candidates(df, p), p).orderBy(F.col("points").desc(), F.col("id")).limit(limit)
+    top = candidate_points(df, p).orderBy(F.col("points").desc(), F.col("id")).limit(limit)
     if min_score <= 0:
         return top
     return top.filter(SC.score_pct(F.col("points"), p.total_weight) >= F.lit(float(min_score)))
@@ -191,7 +199,8 @@ def rank(df: DataFrame, p: Profile, limit: int = 100, min_score: float = 0.0, ev
     if events is not None:
         # at most ``limit`` rows: the event side is reduced to these listings
         events = events.join(F.broadcast(top.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi")
-    return explain_matches(top, p, events).orderBy(F.col("points").desc(), F.col("id"))
+    # the limit makes the last sort a top-n: no range bounds are sampled by a run of their own
+    return explain_matches(top, p, events).orderBy(F.col("points").desc(), F.col("id")).limit(limit)
 
 
 def rank_summary(df: DataFrame, p: Profile, limit: int = 100, min_score: float = 0.0) -> DataFrame:

@@ -121,12 +121,6 @@ def test_targeting_and_amenities(spark):
     assert [r.has_outdoor_space_keywords for r in PG.mine_detail_text(df, "t").collect()] == [None, True]
 
 
-def test_page_state():
-    html = '<script>window.__PRELOADED_STATE__ = {"listing":{"address":"789 Market St","listPrice":3100000,"bedrooms":4,"bathrooms":3}};</script>'
-    assert PG.state_fields(html)["price"] == "3100000"
-    assert PG.state_fields("<p>window.__PRELOADED_STATE__ = {broken") is None
-
-
 def test_previous_row_of_hot_keys(spark):
     rows = [(k, d, i, float(i * d + k)) for k in (1, 2) for d in (1, 3, 4) for i in range(3)]
     df = spark.createDataFrame(rows, "k long, d int, i int, v double")
