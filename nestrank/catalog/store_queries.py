@@ -270,6 +270,30 @@ def resolved_by_each_key(spark, sf_dir):
     return J.resolve_ids(batch, FX.raw_listings(spark, sf_dir)).select("k", "existing_id")
 
 
+@query(
+    "upsert_keyless",
+    "WITH b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat(c_custkey % 40, ' Lane') END AS address, c_acctbal AS price, "
+    "CASE WHEN c_custkey % 3 = 0 THEN concat('https://e.com/', c_custkey % 50) END AS url FROM customer), n AS (SELECT * FROM b WHERE address <> '') "
+    "SELECT address, price, url FROM n WHERE url IS NULL "
+    "UNION ALL SELECT arg_max(address, k), arg_max(price, k), url FROM n WHERE url IS NOT NULL GROUP BY url",
+)
+def upsert_keyless(spark, sf_dir):
+    """Address-only rows are inserted one by one, rows with a url merge by it."""
+    listings = FX.raw_listings(spark, sf_dir).withColumns(
+        {"sources_seen": F.array().cast("array<string>"), "last_seen_at": F.lit(None).cast("timestamp")}
+    ).drop("visual_assessment")
+    none = F.lit(None).cast("string")
+    batch = FX.table(spark, sf_dir, "customer").select(
+        none.alias("source"), none.alias("source_listing_id"), none.alias("listing_id"), F.col("c_custkey").alias("k"),
+        F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat((F.col("c_custkey") % 40).cast("string"), F.lit(" Lane"))).alias("address"),
+        F.col("c_acctbal").alias("price"), F.array().cast("array<string>").alias("photos"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://e.com/"), (F.col("c_custkey") % 50).cast("string")))
+        .when(F.col("c_custkey") % 3 == 1, "").alias("url"),
+    )
+    out = IN.upsert(listings, batch, ["k"], F.to_timestamp(F.lit(FX.NOW)))
+    return out.where("last_seen_at IS NOT NULL").select("address", "price", F.nullif("url", F.lit("")).alias("url"))
+
+
 @query(
     "upsert_insert",
     f"WITH {S.RAW}, b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey END AS old_id, CASE WHEN o_orderkey % 4 = 3 THEN concat('N', o_orderkey % 50) END AS fresh, {WHO['source']} AS src FROM orders WHERE o_orderkey % 8 < 4), "

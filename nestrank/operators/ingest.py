@@ -115,7 +115,8 @@ NEW_ID_PIECES = 1 << 20
 def upsert(listings: DataFrame, batch: DataFrame, order: Sequence[str], run_ts: Column, raw_source: str | None = None) -> DataFrame:
     """New version of the listing table after a batch.
 
-    Rows without an address are skipped.  The last row of a listing wins field by field
+    Rows without an address are skipped.  A row without source id, listing id and url is a listing
+    of its own, so it is inserted; ``order`` has to tell such rows apart.  The last row of a listing wins field by field
     (NULL overwrites), but photos keep the last non-empty list and ``sources_seen`` is
     the union.  A new listing keeps its natural key and gets an id above the largest one
     of the table: ``NEW_ID_PIECES`` pieces by hash of the key, numbered inside each, so no
@@ -136,8 +137,9 @@ def upsert(listings: DataFrame, batch: DataFrame, order: Sequence[str], run_ts:
     natural = F.coalesce(
         F.when(F.col("source").isNotNull() & F.col("source_listing_id").isNotNull(),
                F.concat_ws("\u0001", F.lit("s"), "source", "source_listing_id")),
-        F.when(F.col("listing_id").isNotNull(), F.concat_ws("\u0001", F.lit("l"), "listing_id")),
-        F.concat_ws("\u0001", F.lit("u"), "url"),
+        F.concat(F.lit("l\u0001"), F.nullif("listing_id", F.lit(""))),
+        F.concat(F.lit("u\u0001"), F.nullif("url", F.lit(""))),
+        F.concat(F.lit("r\u0001"), F.to_json(F.struct(*order))),
     )
     resolved = resolved.withColumn(
         "_who", F.when(F.col("existing_id").isNotNull(), identity).otherwise(natural)

@@ -146,3 +146,18 @@ def test_change_kinds(spark):
     )
     got = [r.event_type for r in CH.detect_changes(obs, ["at"]).orderBy("at", "seq").collect()]
     assert got == ["new_listing", "price_drop", "back_on_market", "price_increase"]
+
+
+def test_upsert_keeps_rows_without_a_key(spark):
+    listings = spark.createDataFrame(
+        [(5, "a", "1", "a:1", "u1", "1 Elm", 10.0, [], [])],
+        "id long, source string, source_listing_id string, listing_id string, url string, address string, price double, photos array<string>, sources_seen array<string>",
+    )
+    rows = [(None, None, None, None, "2 Oak", 1.0, 1), (None, None, None, "", "2 Oak", 2.0, 2), (None, None, None, None, "3 Ash", 3.0, 3),
+            (None, None, None, "u1", "1 Elm", 11.0, 4), (None, None, None, "u9", "9 Fir", 4.0, 5), (None, None, None, "u9", "9 Fir", 5.0, 6)]
+    batch = spark.createDataFrame(
+        rows, "source string, source_listing_id string, listing_id string, url string, address string, price double, k int"
+    ).withColumn("photos", F.array().cast("array<string>"))
+    out = IN.upsert(listings, batch, ["k"], F.current_timestamp()).collect()
+    assert sorted((r.address, r.price) for r in out) == [("1 Elm", 11.0), ("2 Oak", 1.0), ("2 Oak", 2.0), ("3 Ash", 3.0), ("9 Fir", 5.0)]
+    assert len({r.id for r in out}) == 5 and [r.id for r in out if r.address == "1 Elm"] == [5]
