@@ -528,12 +528,41 @@ def rank_per_user(spark, sf_dir):
         ]
     )
     weights = users.select("user_id", F.inline(entries))
-    out = R.rank_per_user(FX.listings(spark, sf_dir), RENTAL, weights, 10)
+    out = R.rank_per_user(FX.listings(spark, sf_dir), RENTAL, weights, 10, digits=6)  # as the SQL rounds
     return out.select(
         "user_id", "rank", "id", F.round("points", 4).alias("points"), F.round("percent", 4).alias("percent")
     )
 
 
+def _vector_sql(key: str) -> str:
+    i = list(RENTAL.weights).index(key)
+    return f"CAST({float(RENTAL.weights[key])!r} AS DOUBLE) * (1 + (o_orderkey * {MIX[key]} + o_orderkey / {i + 2}) % 97)"
+
+
+def _vectors_duck(key: str) -> str:
+    return _vector_sql(key).replace(" / ", " // ")
+
+
+@query(
+    "rank_many_users",
+    f"{CANDIDATES}, u AS (SELECT o_orderkey AS user_id, {' + '.join(_vectors_duck(k) for k in RENTAL.weights)} AS total, "
+    + ", ".join(f"{_vectors_duck(k)} AS w_{k}" for k in RENTAL.weights)
+    + " FROM orders), s AS (SELECT user_id, total, id, greatest(0e0, "
+    + " + ".join(f"s_{k} / 10e0 * w_{k}" for k in KEYS if k in RENTAL.weights)
+    + " - price_pen) AS points FROM u CROSS JOIN cand), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, id) AS rank FROM s QUALIFY rank <= 5) "
+    "SELECT user_id, CAST(rank AS INTEGER) AS rank, id, round(points, 6) AS points, round(points / total * 100, 6) AS percent FROM ranked",
+)
+def rank_many_users(spark, sf_dir):
+    """Every order is a user with weights of its own: as many vectors as listings."""
+    entries = F.array(*[
+        F.struct(F.lit(k).alias("criterion"), F.expr(_vector_sql(k).replace(" / ", " div ")).alias("weight")) for k in RENTAL.weights
+    ])
+    weights = FX.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("user_id"), F.inline(entries))
+    out = R.rank_per_user(FX.listings(spark, sf_dir), RENTAL, weights, 5)
+    return out.select("user_id", "rank", "id", F.round("points", 6).alias("points"), F.round("percent", 6).alias("percent"))
+
+
 def _preset_sql() -> str:
     def rows(table):
         return ", ".join(f"({S.q(p)}, {S.q(c)}, {S.num(float(w))})" for p, c, w in table)

@@ -32,6 +32,25 @@ def _count(splits: Column, test) -> Column:
     return base + F.size(F.filter(F.slice(splits, base + 1, F.lit(_STEP)), test))
 
 
+def _cell_of(v: Column) -> tuple[Column, Column]:
+    """First and last cell of a known value; several where the value is a repeated split point."""
+    return _count(F.col("_splits"), lambda s: s < v), _count(F.col("_splits"), lambda s: s <= v)
+
+
+def with_cell(points: DataFrame, value: str, cells: int, name: str, *spread: str, splits: DataFrame | None = None) -> DataFrame:
+    """Add the cell of each point: 0 to ``cells`` - 1 by quantile, equal values dealt by the
+    ``spread`` columns; -1 to -``cells`` for unknown values."""
+    deal = F.xxhash64(*(spread or points.columns))
+    v = F.col(value).cast("double")
+    first, last = _cell_of(v)
+    cut = split_points(points, value, cells) if splits is None else splits
+    found = points.withColumn("_splits", cut.scalar()).withColumns({"_first": first, "_last": last})
+    cell = F.when(v.isNull(), -F.pmod(deal, F.lit(cells)) - 1).otherwise(
+        F.col("_first") + F.pmod(deal, F.col("_last") - F.col("_first") + 1)
+    )
+    return found.withColumn(name, cell.cast("int")).drop("_splits", "_first", "_last")
+
+
 def stab_join(
     points: DataFrame, intervals: DataFrame, value: str, low: str, high: str, cells: int = CELLS, spread: str | None = None
 ) -> DataFrame:
@@ -41,24 +60,14 @@ def stab_join(
     names of the two sides must differ.  ``spread`` is the column by which points of one value are
     dealt to their cells (default: all columns).
     """
-    splits = split_points(points, value, cells).scalar()
-    deal = F.xxhash64(*([spread] if spread else points.columns))
-
-    def cell_of(v: Column) -> tuple[Column, Column]:
-        return _count(F.col("_splits"), lambda s: s < v), _count(F.col("_splits"), lambda s: s <= v)
-
+    splits = split_points(points, value, cells)
+    left = with_cell(points, value, cells, "_cell", *([spread] if spread else []), splits=splits)
     v = F.col(value).cast("double")
-    first, last = cell_of(v)
-    left = points.withColumn("_splits", splits).withColumns({"_first": first, "_last": last})
-    # values unknown: cells of their own, below zero
-    left = left.withColumn("_cell", F.when(v.isNull(), -F.pmod(deal, F.lit(cells)) - 1).otherwise(
-        F.col("_first") + F.pmod(deal, F.col("_last") - F.col("_first") + 1)
-    ).cast("int")).drop("_splits", "_first", "_last")
 
     lo, hi = F.col(low).cast("double"), F.col(high).cast("double")
-    right = intervals.withColumn("_splits", splits)
-    start = F.when(lo.isNull() & hi.isNull(), F.lit(-cells)).when(lo.isNull(), F.lit(0)).otherwise(cell_of(lo)[0])
-    end = F.when(hi.isNull(), F.size("_splits")).otherwise(cell_of(hi)[1])
+    right = intervals.withColumn("_splits", splits.scalar())
+    start = F.when(lo.isNull() & hi.isNull(), F.lit(-cells)).when(lo.isNull(), F.lit(0)).otherwise(_cell_of(lo)[0])
+    end = F.when(hi.isNull(), F.size("_splits")).otherwise(_cell_of(hi)[1])
     right = right.withColumns({"_from": start, "_to": end}).where(
         (F.col("_from") <= F.col("_to")) & (lo.isNull() | hi.isNull() | (lo <= hi))
     ).withColumn("_cell", F.explode(F.sequence("_from", "_to"))).drop("_splits", "_from", "_to")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from nestrank.functions import columns as CO
 from nestrank.functions import scoring as SC
 from nestrank.functions.text import round_half_even, sealed
 from nestrank.operators import filters as FL
+from nestrank.operators.intervals import with_cell
 from nestrank.operators.joins import with_latest
 from nestrank.operators.signals import stage
 from nestrank.session import cut_lineage
@@ -247,121 +247,142 @@ def criterion_rows(df: DataFrame, p: Profile) -> DataFrame:
 
 
 # --- C30, R2: many weight vectors --------------------------------------------
-BLOCK = 4096  # weight vectors one task holds; also the most that is ever broadcast
-CHUNK = 50_000  # listings of one cell of the grid used beyond that
+CELLS = 64  # stretches of listings by their plain total; bounds are kept for each
+ROWS, VECTORS = 20_000, 65_536  # listings and vectors of one group at most, on average
 WINNER = "vector_id long, id long, points double"
 
 
-def _winners(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = frame.sort_values(["vector_id", "points", "id"], ascending=[True, False, True])
-    return ordered.groupby("vector_id", sort=False).head(k)
-
-
-def _block_points(scores, penalty, listing, vectors, ids, k: int) -> list[pd.DataFrame]:
-    """Rows of a block of listings that reach the k best of some vector."""
-    found = []
-    for lo in range(0, len(ids), 256):
-        part = vectors[lo:lo + 256]
-        points = np.zeros((len(listing), len(part)))
-        for j in range(scores.shape[1]):  # criterion order, as in the single-profile sum
-            points += np.outer(scores[:, j] / 10.0, part[:, j])
-        points = np.maximum(0.0, points - penalty[:, None])
-        points = np.rint(points * 1e6) / 1e6
-        cut = np.partition(points, max(0, len(listing) - k), axis=0)[max(0, len(listing) - k)]
-        row, col = np.nonzero(points >= cut)  # ties at the cut stay in
-        found.append(
-            pd.DataFrame({"vector_id": ids[lo + col], "id": listing[row], "points": points[row, col]})
-        )
-    return found
-
-
-def _stream_topk(batches: Iterator[pa.RecordBatch], vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Best k listings of a partition for each vector, trimmed while streaming."""
-    kept: list[pd.DataFrame] = []
-    held = 0
-    for batch in batches:
-        frame = batch.to_pandas()
-        if frame.empty:
-            continue
-        scores = np.stack(frame["scores"].to_numpy())
-        new = _block_points(scores, frame["penalty"].to_numpy(), frame["id"].to_numpy(), vectors, ids, k)
-        kept += new
-        held += sum(len(x) for x in new)
-        if held > 4 * k * len(ids):
-            kept = [_winners(pd.concat(kept), k)]
-            held = len(kept[0])
-    if kept:
-        out = _winners(pd.concat(kept), k).astype({"vector_id": "int64", "id": "int64", "points": "float64"})
-        yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-
-def _grid_topk(k: int):
-    def run(listings: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if listings.empty or vectors.empty:
-            return pd.DataFrame({"vector_id": [], "id": [], "points": []}).astype(
-                {"vector_id": "int64", "id": "int64"}
-            )
-        found = _block_points(
-            np.stack(listings["scores"].to_numpy()), listings["penalty"].to_numpy(),
-            listings["id"].to_numpy(), np.stack(vectors["weights"].to_numpy()),
-            vectors["vector_id"].to_numpy(), k,
+def _best_of(listings: pa.Table, vectors: pa.Table, k: int, digits: int | None) -> pa.Table:
+    """The k best listings of a group for each of its vectors, ties at the cut included."""
+    def matrix(table: pa.Table, column: str) -> np.ndarray:
+        flat = table.column(column).combine_chunks().flatten()
+        return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    parts = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+    if listings.num_rows and vectors.num_rows:
+        scores, weights = matrix(listings, "scores") / 10.0, matrix(vectors, "weights")
+        penalty, ids = listings.column("penalty").to_numpy(), listings.column("id").to_numpy()
+        names, cut = vectors.column("vector_id").to_numpy(), max(0, len(ids) - k)
+        step = max(1, 2_000_000 // len(ids))
+        for low in range(0, len(names), step):
+            part = weights[low:low + step]
+            points = np.zeros((len(ids), len(part)))
+            for j in range(scores.shape[1]):  # criterion order, as in the single-profile sum
+                points += np.outer(scores[:, j], part[:, j])
+            points = np.maximum(0.0, points - penalty[:, None])
+            if digits is not None:
+                points = np.rint(points * 10.0**digits) / 10.0**digits
+            row, col = np.nonzero(points >= np.partition(points, cut, axis=0)[cut])
+            # ties at the cut: smaller ids first, no more than k of a vector
+            order = np.lexsort((ids[row], -points[row, col], col))
+            row, col = row[order], col[order]
+            keep = np.arange(len(col)) - np.searchsorted(col, col) < k
+            for target, values in zip(parts, (names[low + col[keep]], ids[row[keep]], points[row[keep], col[keep]])):
+                target.append(values)
+    return pa.table({n: np.concatenate(v) for n, v in zip(("vector_id", "id", "points"), parts)})
+
+
+def _cell_bounds(scored: DataFrame, size: int) -> DataFrame:
+    """One row, one array: per cell its listings, the largest and smallest score of each criterion
+    and the smallest penalty."""
+    extreme = [(f(F.get("scores", F.lit(j)))).alias(f"{n}{j}") for n, f in (("hi", F.max), ("lo", F.min)) for j in range(size)]
+    cells = scored.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("penalty").alias("pen"), *extreme)
+    packed = F.struct(
+        "cell", "n", "pen", *[F.array(*[f"{n}{j}" for j in range(size)]).alias(n) for n in ("hi", "lo")]
+    )
+    return cells.agg(F.coalesce(F.collect_list(packed), F.array()).alias("bounds"))  # ``CELLS`` + 1 entries at most
+
+
+def _bounded(vectors: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+    """Adds ``cells``: (bound, cell) by falling bound, and ``seeds``: how many of them hold k listings."""
+    def bound(b: Column) -> Column:
+        sides = F.zip_with(b["hi"], b["lo"], lambda hi, lo: F.struct(hi.alias("hi"), lo.alias("lo")))
+        most = F.zip_with(
+            sides, "weights", lambda s, w: F.greatest(s["hi"] / F.lit(10.0) * w, s["lo"] / F.lit(10.0) * w)
         )
-        return _winners(pd.concat(found), k)
+        return F.greatest(F.lit(0.0), F.aggregate(most, F.lit(0.0), lambda total, x: total + x) - b["pen"])
+
+    ranked = F.sort_array(
+        F.transform("_bounds", lambda b: F.struct(bound(b).alias("bound"), b["cell"].alias("cell"), b["n"].alias("n"))), False
+    )
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(0).alias("cells"))
+    seeds = F.aggregate("cells", start, lambda a, c: F.when(a["rows"] < k, F.struct(
+        (a["rows"] + c["n"]).alias("rows"), (a["cells"] + 1).alias("cells")
+    )).otherwise(a))["cells"]
+    return vectors.withColumn("_bounds", bounds.scalar()).withColumn("cells", ranked).withColumn("seeds", seeds).drop("_bounds")
+
+
+def _winners(scored: DataFrame, asked: DataFrame, slices: Column, blocks: Column, k: int, digits: int | None) -> DataFrame:
+    """Best listings of the asked (vector, cell) pairs: both sides meet in groups of bounded size.
 
-    return run
+    A cell is cut into slices of listings, vectors into blocks; a listing is repeated for the blocks
+    that ask for its cell, a vector for the slices of its cells.
+    """
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vector_id"), blocks))
+    needed = asked.select(F.col("cell").alias("_cell"), F.col("block").alias("_block")).distinct()
+    left = scored.withColumn("slice", F.pmod(F.xxhash64("id"), slices)).join(needed, F.col("cell") == F.col("_cell")).select(
+        scored["*"], "slice", F.col("_block").alias("block")
+    )
+    right = asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    keys = ("cell", "slice", "block")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        lambda a, b: _best_of(a, b, k, digits), WINNER
+    )
+
+
+def _top(winners: DataFrame, k: int) -> DataFrame:
+    """The k best of each vector; the rank filter is applied in every task before the shuffle."""
+    window = Window.partitionBy("vector_id").orderBy(F.col("points").desc(), F.col("id"))
+    return winners.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
 def rank_per_user(
-    df: DataFrame, p: Profile, user_weights: DataFrame, k: int = 100, min_score: float = 0.0, block: int = BLOCK
+    df: DataFrame, p: Profile, user_weights: DataFrame, k: int = 100, min_score: float = 0.0, cells: int = CELLS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Top k matches of every user under the user's own weights.
 
-    ``user_weights``: (user_id, criterion, weight).  Scores do not depend on the user, so
-    each listing is scored once, and users with equal weights share a vector.  Up to
-    ``block`` distinct vectors are broadcast: every task multiplies its listings with
-    them and keeps k rows per vector.  More vectors go through a grid of
-    (listing chunk, vector block) cells instead, so no task and no driver holds them all.
-    One window over the partial winners picks the final k; listing x user pairs are
-    never materialised.
+    ``user_weights``: (user_id, criterion, weight).  Scores do not depend on the user, so each
+    listing is scored once, and users with equal weights share a vector.  Listings are cut into
+    ``cells`` by their plain total, and a cell's extreme scores bound what any of its listings can
+    reach under a vector.  A vector first meets its best cells, as many as hold k listings; its k-th
+    best there is a threshold, and of the other cells only those whose bound reaches it are met.
+    Partial winners are cut to k in every task and once more after the shuffle.  One way for any
+    number of vectors; no vector and no listing passes the driver.  Points are those of ``rank``;
+    ``digits`` rounds them before they are ordered.
     """
     keys = [c.key for c in SC.CRITERIA]
     entries = user_weights.filter(F.col("criterion").isin(*keys)).groupBy("user_id").agg(
         F.map_from_entries(F.collect_list(F.struct("criterion", "weight"))).alias("_m")
     )  # at most 21 entries per user
-    entries = entries.select(
+    entries = cut_lineage(entries.select(
         "user_id",
         F.array(*[F.coalesce(F.element_at("_m", F.lit(key)), F.lit(0.0)) for key in keys]).alias("weights"),
+    ))
+    vectors = entries.groupBy("weights").agg(F.min("user_id").cast("long").alias("vector_id"))
+    staged = stage(FL.hard_filter(df, p), p)
+    scored = staged.select("id", sealed({
+        "scores": F.array(*[c.rounded(p) for c in SC.CRITERIA]), "penalty": SC.penalties(p), "_keep": FL.staged_verdict(p),
+    })).where("_keep").drop("_keep")
+    scored = cut_lineage(scored.withColumn("level", F.aggregate("scores", F.lit(0.0), lambda t, s: t + s) - F.col("penalty")))
+    scored = with_cell(scored, "level", cells, "cell", "id").select("id", "scores", "penalty", "cell")
+
+    slices = F.greatest(F.lit(1), F.ceil(scored.agg(F.count(F.lit(1))).scalar() / F.lit(cells * ROWS))).cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(vectors.agg(F.count(F.lit(1))).scalar() / F.lit(VECTORS))).cast("long")
+    bounded = cut_lineage(_bounded(vectors, _cell_bounds(scored, len(keys)), k))
+
+    def asked(source: DataFrame, wanted: Column) -> DataFrame:
+        return source.select("vector_id", "weights", F.explode(wanted).alias("_c")).select("vector_id", "weights", "_c.cell")
+
+    first = cut_lineage(_winners(scored, asked(bounded, F.slice("cells", F.lit(1), F.col("seeds"))), slices, blocks, k, digits))
+    reached = _top(first, k).where(F.col("rank") == k).select("vector_id", F.col("points").alias("reached"))
+    slack = F.lit(0.0 if digits is None else 10.0**-digits)
+    rest = F.filter(
+        F.slice("cells", F.col("seeds") + 1, F.size("cells")),
+        lambda c: F.col("reached").isNull() | (c["bound"] + slack >= F.col("reached")),
     )
-    vectors = entries.groupBy("weights").agg(F.min("user_id").alias("vector_id"))
-    staged = stage(candidates(df, p), p)
-    scored = staged.select(
-        "id",
-        F.array(*[c.rounded(p) for c in SC.CRITERIA]).alias("scores"),
-        SC.penalties(p).alias("penalty"),
-    )
-    few = vectors.limit(block + 1).collect()
-    if len(few) <= block:
-        ids = np.array([r.vector_id for r in few], dtype="int64")
-        matrix = np.array([r.weights for r in few]).reshape(len(few), len(keys))
-        shared = df.sparkSession.sparkContext.broadcast((matrix, ids))
-        winners = scored.mapInArrow(
-            lambda it: _stream_topk(it, shared.value[0], shared.value[1], k), WINNER
-        )
-    else:
-        blocks = -(-vectors.count() // block)
-        chunks = -(-max(1, scored.count()) // CHUNK)
-        left = scored.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-        )
-        right = vectors.withColumn("block", F.pmod(F.xxhash64("vector_id"), F.lit(blocks))).withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>"))
-        )
-        winners = (
-            left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block"))
-            .applyInPandas(_grid_topk(k), WINNER)
-        )
-    window = Window.partitionBy("vector_id").orderBy(F.col("points").desc(), F.col("id"))
-    final = winners.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    second = _winners(scored, asked(bounded.join(reached, "vector_id", "left"), rest), slices, blocks, k, digits)
+    final = _top(first.union(second), k)
     total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
     users = entries.join(vectors, "weights").select(
         "user_id", "vector_id", F.when(total > 0, total).otherwise(F.lit(1.0)).alias("total")
