@@ -11,6 +11,7 @@ from nestrank.catalog.score_queries import BUY, KEYS, RENTAL
 from nestrank.functions import lexicon as LX
 from nestrank.operators.lexicon import lexicon_groups, lexicon_hits
 from nestrank.operators.many_profiles import score_many_profiles
+from nestrank.operators.nearest import nearest_segments
 from nestrank.sources.profiles import profile_tables
 
 # A lexicon of tens of thousands of terms: the words of all conversations, and pairs of neighbours.
@@ -160,3 +161,36 @@ def score_many_profiles_query(spark, sf_dir):
         F.round(F.max("points"), 6).alias("best_points"), F.round(F.max("percent"), 4).alias("best_percent"),
         F.round(F.avg("percent"), 4).alias("mean_percent"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
     )
+
+
+# --- nearest of a large layer ----------------------------------------------------
+# A segment per event: most around two cities, one in 40 far away from every listing.
+SEGMENTS = {
+    "segment_id": "event_id",
+    "lat1": "CASE WHEN event_id % 40 = 7 THEN CAST(480000 + (event_id * 37) % 30000 AS DOUBLE) / 10000 WHEN event_id % 3 = 0 "
+    "THEN CAST(377000 + (event_id * 7919) % 1700 AS DOUBLE) / 10000 ELSE CAST(405800 + (event_id * 7919) % 2600 AS DOUBLE) / 10000 END",
+    "lon1": "CASE WHEN event_id % 40 = 7 THEN CAST(20000 + (event_id * 53) % 90000 AS DOUBLE) / 10000 WHEN event_id % 3 = 0 "
+    "THEN CAST(-1225200 + (event_id * 104729) % 1900 AS DOUBLE) / 10000 ELSE CAST(-740900 + (event_id * 104729) % 2300 AS DOUBLE) / 10000 END",
+}
+BEND = {"lat2": "lat1 + CAST((segment_id * 31) % 21 - 10 AS DOUBLE) / 10000", "lon2": "lon1 + CAST((segment_id * 17) % 25 - 12 AS DOUBLE) / 10000"}
+
+
+def _nearest_sql() -> str:
+    along = (
+        "coalesce(greatest(0e0, least(1e0, ((lon - lon1) * (lon2 - lon1) + (lat - lat1) * (lat2 - lat1)) / "
+        "nullif((lon2 - lon1) * (lon2 - lon1) + (lat2 - lat1) * (lat2 - lat1), 0e0))), 0e0)"
+    )
+    dist = S.haversine("lat", "lon", "lat1 + k * (lat2 - lat1)", "lon1 + k * (lon2 - lon1)")
+    return (
+        f"WITH {S.RAW}, a AS ({FX.select_sql(SEGMENTS, 'events')}), s AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in BEND.items())
+        + f" FROM a), m AS (SELECT id, segment_id, lat, lon, lat1, lon1, lat2, lon2, {along} AS k FROM raw, s WHERE lat IS NOT NULL AND lon IS NOT NULL) "
+        f"SELECT id, round(min({dist}), 3) AS distance_m FROM m GROUP BY id"
+    )
+
+
+@query("nearest_of_large_layer", _nearest_sql())
+def nearest_of_large_layer(spark, sf_dir):
+    ends = FX.table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in SEGMENTS.items()])
+    segments = ends.selectExpr("*", *[f"{e} AS {n}" for n, e in BEND.items()])
+    found = nearest_segments(FX.raw_listings(spark, sf_dir).select("id", "lat", "lon"), segments)
+    return found.select("id", F.round("distance_m", 3).alias("distance_m"))
