@@ -8,7 +8,9 @@ from nestrank import fixtures as FX
 from nestrank.catalog import sqltext as S
 from nestrank.catalog.registry import query
 from nestrank.catalog.score_queries import BUY, KEYS, RENTAL
+from nestrank.catalog.text_queries import _quality_sql
 from nestrank.functions import lexicon as LX
+from nestrank.functions import sql_functions as SF
 from nestrank.operators.lexicon import lexicon_groups, lexicon_hits
 from nestrank.operators.many_profiles import score_many_profiles
 from nestrank.operators.nearest import nearest_segments
@@ -194,3 +196,18 @@ def nearest_of_large_layer(spark, sf_dir):
     segments = ends.selectExpr("*", *[f"{e} AS {n}" for n, e in BEND.items()])
     found = nearest_segments(FX.raw_listings(spark, sf_dir).select("id", "lat", "lon"), segments)
     return found.select("id", F.round("distance_m", 3).alias("distance_m"))
+
+
+# --- functions for SQL users ------------------------------------------------------
+@query(
+    "sql_functions",
+    f"WITH {S.LISTINGS}, {S.GEO}, q AS ({_quality_sql('raw', 'id', 'description')}) "
+    f"SELECT id, round({S.haversine('lat', 'lon', '40.7e0', '(-74e0)')}, 3) AS from_centre, text_quality, "
+    f"CASE WHEN lat IS NULL THEN 50 ELSE {S.QUIET} END AS quiet FROM fx JOIN q USING (id) {S.GEO_JOIN}",
+)
+def sql_functions_query(spark, sf_dir):
+    SF.register(spark)
+    return spark.sql(
+        "SELECT id, round(haversine_m(lat, lon, 40.7D, -74D), 3) AS from_centre, round(text_quality(description), 6) AS text_quality, "
+        "tranquility(lat, lon) AS quiet FROM {raw}", raw=FX.raw_listings(spark, sf_dir),
+    )
