@@ -7,7 +7,7 @@ from nestrank.catalog import all_queries, all_sql
 
 SF_DIR = "/root/testdata/sf0.001"
 # queries that score every listing take most of a minute to plan; check_oracle.py runs them
-MODULES = ("nestrank.catalog.store_queries", "nestrank.catalog.page_queries", "nestrank.catalog.data_queries")
+MODULES = tuple(f"nestrank.catalog.{m}_queries" for m in ("store", "page", "data", "many"))
 SCORING = {"alerts_not_sent", "stale_alerts", "scout_alerts", "scout_seen"}
 NAMES = sorted(n for n, q in all_queries().items() if q.__module__ in MODULES and n not in SCORING)
 
