@@ -12,9 +12,13 @@ of its parts' registers (``merge_registers``). Equal runs of ``ROWS`` registers
    registers; pairs more than six deviations under the threshold end here. The rest is
    verified on the full sets: 100 * common >= ``percent`` * union.
 3. A bucket whose members do not yet lie in one component may hold further links between
-   members. Its members are cut into blocks of ``BLOCK``; each pair of blocks is one small task
-   that counts all common shingles exactly (a sparse product) and returns a spanning forest of
-   the verified links, never the pairs. So no bucket is capped and no pair is emitted twice.
+   members. It is cut into cells by size class, one class with the next larger one, since sets at
+   the threshold are at most one class apart; cells whose members lie in one component end here.
+   A link that is still of use has an end outside the cell's largest component. So a cell of up to
+   ``BLOCK`` members (or ``WEIGHT`` shingles) is one small task that gets each set once, and of a
+   larger one only blocks of such outsiders meet blocks of the rest. A task counts the common
+   shingles exactly (a sparse product) and returns a spanning forest of the verified links, never
+   the pairs. No bucket is capped.
 4. Components: alternating minimum-label stars, no driver collection.
 
 A pair at the threshold shares no bucket with probability (1 - 0.85^7)^50 < 1e-8.
@@ -27,6 +31,7 @@ empty table gives no rows. Only ``id_col`` and ``text_col`` are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +45,7 @@ SHINGLE = 5
 ROWS, BANDS = 7, 50
 REGISTERS = ROWS * BANDS
 BASE, RATE, Q = 1.001, 20.0, 2**16 - 2
-BLOCK = 128
+BLOCK, WEIGHT = 1024, 1 << 20
 _SEEDS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -195,31 +200,39 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links between two blocks (within one, if ``right`` is None).
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every two sets, exactly.
 
-    Common shingles are counted exactly, for all pairs at once, as a product of 0/1 matrices over
-    the shingles that occur twice or more, 4,096 shingles at a time.
+    Elements of up to eight owners add their owner pairs one by one; the others, 1,024 at a time,
+    are a product of 0/1 matrices over the sets that hold any of them.
     """
-    sets = left + (right or [])
-    cut = len(left) if right is not None else 0
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    count = len(sets)
+    owner = np.repeat(np.arange(count), [len(s) for s in sets])
     ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    keep = counts[ids] > 1
-    owner, ids = owner[keep], np.unique(ids[keep], return_inverse=True)[1]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((count, count), np.float32)
     order = np.argsort(ids, kind="stable")
-    owner, ids = owner[order], ids[order]
-    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):
-        a, b = np.searchsorted(ids, [low, low + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[owner[a:b], ids[a:b] - low] = 1
-        common += part @ part.T
+    owner, held = owner[order], counts[ids[order]]
+    for many in range(2, 9):
+        owners = owner[held == many].reshape(-1, many)
+        for i in range(many):
+            for j in range(i + 1, many):
+                common += np.bincount(owners[:, i] * count + owners[:, j], minlength=count * count).reshape(count, count)
+    common += common.T
+    owner, ids = owner[held > 8], np.unique(ids[order][held > 8], return_inverse=True)[1]
+    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, 1024):
+        a, b = np.searchsorted(ids, [low, low + 1024])
+        rows, at = np.unique(owner[a:b], return_inverse=True)
+        part = np.zeros((len(rows), 1024), np.float32)
+        part[at, ids[a:b] - low] = 1
+        common[np.ix_(rows, rows)] += part @ part.T
+    return common.astype(np.int64)
+
+
+def forest(sets: list[np.ndarray], wanted: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links among ``sets`` that the symmetric matrix ``wanted`` asks for."""
+    common = common_counts(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    common = common.astype(np.int64)
-    link = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-    link[:, :cut] = False  # with two blocks: left members as rows, right members as columns
-    link[cut or len(sets) :, :] = False
+    link = wanted & (100 * common >= percent * (size[:, None] + size[None, :] - common))
     parent, out = list(range(len(sets))), []
     for i, j in zip(*np.nonzero(np.triu(link, 1)), strict=True):
         ri, rj = _find(parent, int(i)), _find(parent, int(j))
@@ -231,19 +244,82 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
 
 def _cell_links(percent: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        nodes, sides = rows.column("node").combine_chunks(), np.array(rows.column("side").to_pylist())
+        nodes = rows.column("node").combine_chunks()
+        own, block, component = (rows.column(c).to_numpy() for c in ("own", "block", "component"))
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-        order = np.argsort(sides, kind="stable")
-        left = [sets[i] for i in order if sides[i] == 0]
-        right = [sets[i] for i in order if sides[i] == 1]
-        inner = key[1].as_py() == key[2].as_py()
-        edges = forest(left, None if inner else right, percent) if left and (inner or right) else []
-        ends = [nodes.take(pa.array([order[e[k]] for e in edges], pa.int64())) for k in (0, 1)]
+        wanted = (component[:, None] != component[None, :]) & (own[:, None] | own[None, :])
+        if key[2].as_py() != key[3].as_py():
+            wanted &= block[:, None] != block[None, :]
+        edges = forest(sets, wanted, percent) if wanted.any() else []
+        ends = [nodes.take(pa.array([e[k] for e in edges], pa.int64())) for k in (0, 1)]
         return pa.table({"a": ends[0], "b": ends[1]})
 
     return run
 
 
+def _cells(members: DataFrame, first: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(bucket, class, i, j, node, own, component, block): what each task of the open buckets gets.
+
+    A cell holds the sets of its class (``own``) and of the next one. Of equal cells one is kept.
+    """
+    width = -math.log((percent - 0.5) / 100)  # a little more than the ratio of the threshold
+    labelled = staged(
+        members.where("size > 2")
+        .join(first, "node", "left")
+        .select("bucket", "node", F.coalesce("component", "node").alias("component")),
+        "labelled",
+    )
+    still = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    classes = sizes.select("node", "n", F.floor(F.ln("n") / width).cast("int").alias("own_class"))
+    rows = staged(
+        labelled.join(still.where("low < high").select("bucket"), "bucket")
+        .join(classes, "node")
+        .withColumn("class", F.explode(F.array(F.col("own_class"), F.col("own_class") - 1)))
+        .select("bucket", "class", "node", "n", "component", (F.col("class") == F.col("own_class")).alias("own")),
+        "cells",
+    )
+    parts = rows.groupBy("bucket", "class", "component").agg(
+        F.count("*").alias("size"), F.sum("n").alias("weight"), F.sum(F.col("own").cast("long")).alias("owned"),
+        F.sum(F.xxhash64("node", "own").cast("decimal(38,0)")).alias("signature"),
+    )
+    blocks = lambda size, weight: F.greatest(F.ceil(size / BLOCK), F.ceil(weight / WEIGHT)).cast("int")
+    cells = (
+        parts.groupBy("bucket", "class")
+        .agg(
+            F.count("*").alias("components"), F.sum("size").alias("size"), F.sum("weight").alias("weight"),
+            F.sum("owned").alias("owned"), F.sum("signature").alias("signature"),
+            F.max(F.struct("size", "weight", "component")).alias("most"),
+        )
+        .where("components > 1 and owned > 0")
+        .groupBy("signature", "size")
+        .agg(F.min_by(F.struct("bucket", "class", "weight", "most"), F.struct("bucket", "class")).alias("c"))
+        .select(
+            "c.bucket", "c.class", F.col("c.most.component").alias("main"),
+            (blocks(F.col("size"), F.col("c.weight")) == 1).alias("small"),
+            blocks(F.col("size") - F.col("c.most.size"), F.col("c.weight") - F.col("c.most.weight")).alias("outer"),
+            blocks(F.col("c.most.size"), F.col("c.most.weight")).alias("inner"),
+        )
+    )
+    # Blocks 0 .. outer - 1 hold outsiders, the next ones members of the largest component.
+    outsider, spread = F.col("component") != F.col("main"), F.xxhash64("node")
+    block = (
+        F.when(F.col("small"), 0)
+        .when(outsider, F.pmod(spread, "outer"))
+        .otherwise(F.col("outer") + F.pmod(spread, "inner"))
+        .cast("int")
+    )
+    last = F.when(F.col("small"), 0).when(outsider, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
+    return (
+        rows.join(cells, ["bucket", "class"])
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .select(
+            "bucket", "class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "node", "own", "component", "block",
+        )
+    )
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(id, n, digest, component_id, kept) of every row."""
     feats = staged(features(docs, id_col, text_col), "sketches")
@@ -278,38 +354,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
         "star",
     )
     first = min_labels(star, "first")
-
-    # Buckets of three or more whose members are not yet in one component; equal member lists once.
-    labelled = (
-        members.where("size > 2")
-        .join(first, "node", "left")
-        .select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-    )
-    open_buckets = (
-        labelled.groupBy("bucket")
-        .agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size"),
-            F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("signature"),
-        )
-        .where("low < high")
-        .groupBy("signature", "size")
-        .agg(F.min("bucket").alias("bucket"))
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    )
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = (
-        members.select("bucket", "node").join(open_buckets.select("bucket", "blocks"), "bucket")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(others))
-        .select(
-            "bucket", "node",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
-        )
-        .join(sets.select("node", "hashes"), "node")
-    )
-    rest = cells.groupBy("bucket", "i", "j").applyInArrow(_cell_links(percent), "a long, b long")
+    cells = _cells(members, first, reps.select("node", "n"), percent).join(sets.select("node", "hashes"), "node")
+    rest = cells.groupBy("bucket", "class", "i", "j").applyInArrow(_cell_links(percent), "a long, b long")
     final = min_labels(star.union(rest), "final")
 
     linked_nodes = staged(reps.select("node", "digest", "rep").join(final, "node"), "linked")

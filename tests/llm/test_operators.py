@@ -101,9 +101,12 @@ def brute_components(rows, percent=85):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-def test_near_dedup_against_brute_force(spark):
-    from nestrank.llm.op10_setsketch import components
+@pytest.mark.parametrize(("percent", "block", "weight"), [(85, 1024, 1 << 20), (80, 1024, 1 << 20), (85, 8, 1 << 20), (85, 1024, 700)])
+def test_near_dedup_against_brute_force(spark, monkeypatch, percent, block, weight):
+    from nestrank.llm import op10_setsketch
 
+    monkeypatch.setattr(op10_setsketch, "BLOCK", block)
+    monkeypatch.setattr(op10_setsketch, "WEIGHT", weight)
     rng, rows = random.Random(2), [(i, t) for i, t in ROWS if i is not None and i != 6]
     base = shuffled_words(120, 1)
     for i in range(100, 400):  # one large family: many pairs near the threshold, no leader links all
@@ -111,8 +114,8 @@ def test_near_dedup_against_brute_force(spark):
         for _ in range(rng.randrange(8)):
             words[rng.randrange(120)] = f"e{rng.randrange(40)}"
         rows.append((i, " ".join(words)))
-    want = brute_components(rows)
-    got = components(documents(spark, rows)).collect()
+    want = brute_components(rows, percent)
+    got = op10_setsketch.components(documents(spark, rows), percent=percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -157,15 +160,26 @@ def test_registers_merge_and_estimate():
     assert abs(near - 3000 / 4200) < 0.1
 
 
+def test_common_counts():
+    from nestrank.llm.op10_setsketch import common_counts
+
+    rng = np.random.default_rng(9)
+    for top in (40, 600, 9000):  # elements with many owners, with a few, with one or two
+        sets = [np.unique(rng.integers(0, top, rng.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
+        got = common_counts(sets)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(30) for j in range(30) if i != j)
+
+
 def test_forest_equals_components_of_all_links():
     from nestrank.llm.op10_setsketch import forest, linked
 
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(40)]
     for cut in (None, 17):
-        left, right = (sets, None) if cut is None else (sets[:cut], sets[cut:])
-        edges = forest(left, right, 60)
-        want = {(i, j) for i in range(40) for j in range(i + 1, 40) if linked(sets[i], sets[j], 60) and (cut is None or i < cut <= j)}
+        side = np.arange(40) < (cut or 0)
+        wanted = np.ones((40, 40), bool) if cut is None else side[:, None] != side[None, :]
+        edges = forest(sets, wanted, 60)
+        want = {(i, j) for i in range(40) for j in range(i + 1, 40) if linked(sets[i], sets[j], 60) and wanted[i, j]}
         assert set(edges) <= want
 
         def classes(pairs):
