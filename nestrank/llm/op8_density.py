@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from nestrank.llm.common import slices, texts
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_START, _NAME_END, _STOP = re.compile("/?[a-zA-Z]"), re.compile(r"[\s/>]"), re.compile("[>\"']")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "noscript", "template", "iframe", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,6 +69,48 @@ _CLOSES = {
     "th": ("td", "th"), "option": ("option",),
 }
 _WHOLE = ("article", "main")
+# Elements that an implied end tag does not reach across.
+_WALLS = frozenset("table ul ol dl article section div body blockquote".split())
+# Numeric references past the last code point, and leading zeros: cut before any number is read.
+_ZEROS, _FAR = re.compile("&#0{2,}(?=[0-9])"), re.compile("&#[1-9][0-9]{8,};?")
+
+
+class _Tags:
+    """Ends of the tags of one page, in time linear in its length however many stay open.
+
+    A walk from a tag's name skips quoted values. Quotes met on a walk that found no end are kept:
+    a later walk that meets one of them ends there too, so no stretch is walked twice.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last, self.dead = source, source.rfind(">"), set()
+        self.seen = {_NAME_END: (0, -1), _STOP: (0, -1)}
+
+    def first(self, pattern: re.Pattern, at: int) -> int:
+        """First match at or after ``at``; the last answer serves all places before it."""
+        low, stop = self.seen[pattern]
+        if not low <= at <= stop:
+            found = pattern.search(self.source, at)
+            stop = found.start() if found else len(self.source)
+            self.seen[pattern] = (at, stop)
+        return stop
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``; -1 if none does."""
+        stop = self.first(_STOP, at)
+        met = []
+        while stop <= self.last:
+            quote = self.source[stop]
+            if quote == ">":
+                return stop
+            met.append(stop)
+            closing = -1 if stop in self.dead else self.source.find(quote, stop + 1)
+            found = _STOP.search(self.source, closing + 1) if closing >= 0 else None
+            if not found:
+                break
+            stop = found.start()
+        self.dead.update(met)
+        return -1
 
 
 def _kind(token: str, within: bool) -> int:
@@ -101,38 +143,48 @@ class _Page:
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.runs: list[tuple[int, int, str]] = []
         self.stack, self.block, self.muted, self.links = [0], 0, 0, 0
+        self.places: dict[str, list[int]] = {}  # depths at which a name is open
+        self.walls = [0]
         self.named: dict[int, int] = {}
         self._read(source)
         if self.named:
             self._mute()
 
     def _read(self, source: str) -> None:
-        at, size = 0, len(source)
-        while at < size:
-            found = _TAG.search(source, at)
-            end = found.start() if found else size
-            if end > at and not self.muted:
-                self._text(source[at:end])
-            if not found:
-                return
-            at = found.end()
-            name = found[2]
-            if name is None:
+        tags, start, at, size = _Tags(source), 0, 0, len(source)
+        while (at := source.find("<", at)) >= 0:
+            name_end, end = 0, -1
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4) + 2
+                end = end if end > 1 else size - 1
+            elif source.startswith(("<!", "<?"), at):
+                end = source.find(">", at) if at < tags.last else -1
+            elif begins := _START.match(source, at + 1):
+                name_end = tags.first(_NAME_END, begins.end())
+                end = tags.end(name_end)
+            if end < 0:  # no tag: the sign is text
+                at += 1
                 continue
-            name = name.lower()
-            if found[1]:
-                self._close(name)
-            elif name in _RAW:
-                closing = _RAW[name].search(source, at)
-                at = closing.end() if closing else size
-                if name not in _INLINE:
+            if at > start and not self.muted:
+                self._text(source[start:at])
+            at = end + 1
+            if name_end:
+                word = source[begins.end() - 1 : name_end].lower()
+                if source[begins.start()] == "/":
+                    self._close(word)
+                elif word in _RAW:
+                    closing = _RAW[word].search(source, at)
+                    at = closing.end() if closing else size
                     self.block += 1
-            else:
-                self._open(name, found[3])
+                else:
+                    self._open(word, source[name_end:end])
+            start = at
+        if start < size and not self.muted:
+            self._text(source[start:])
 
     def _text(self, raw: str) -> None:
         if "&" in raw:
-            raw = html.unescape(raw)
+            raw = html.unescape(_FAR.sub("\N{REPLACEMENT CHARACTER}", _ZEROS.sub("&#", raw)))
         if raw.isspace():
             if self.runs and self.runs[-1][1] == self.block:
                 self.runs.append((self.stack[-1], self.block, " "))
@@ -154,18 +206,21 @@ class _Page:
         if not inline:
             self.block += 1
             for other in (*_CLOSES.get(name, ()), "p"):
-                self._close(other, ("table", "ul", "ol", "dl", "article", "section", "div", "body", "blockquote"))
+                self._close(other, self.walls[-1])
         if name in _VOID:
             if not self.muted:
                 self.tags[self.stack[-1]] += 1
             return
-        node = len(self.names)
+        node, within = len(self.names), any(self.places.get(n) for n in _WHOLE)
         self.names.append(name)
         self.parents.append(self.stack[-1])
         self.chars.append(0)
         self.tags.append(1)
         self.link_chars.append(0)
         self.link_tags.append(0)
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in _WALLS:
+            self.walls.append(len(self.stack))
         self.stack.append(node)
         if name == "a":
             self.links += 1
@@ -173,28 +228,27 @@ class _Page:
         if self.muted:
             self.muted += 1
             return
-        kind = _noisy(name, attributes, any(self.names[n] in _WHOLE for n in self.stack[:-1]))
+        kind = _noisy(name, attributes, within)
         if kind == 3:
             self.muted += 1
         elif kind:
             self.named[node] = kind
 
-    def _close(self, name: str, walls: tuple[str, ...] = ()) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            own = self.names[self.stack[depth]]
-            if own == name:
-                break
-            if own in walls:
-                return
-        else:
+    def _close(self, name: str, wall: int = 0) -> None:
+        """End the innermost open element of this name, if it stands inside the wall, and all in it."""
+        places = self.places.get(name)
+        if not places or places[-1] < wall:
             return
+        depth = places[-1]
         if name not in _INLINE:
             self.block += 1
         for node in self.stack[depth:]:
+            self.places[self.names[node]].pop()
             self.links -= self.names[node] == "a"
-        gone = len(self.stack) - depth
+        while self.walls[-1] >= depth > 0:
+            self.walls.pop()
+        self.muted = max(0, self.muted - (len(self.stack) - depth))
         del self.stack[depth:]
-        self.muted = max(0, self.muted - gone)
 
     def _mute(self) -> None:
         """Take the text out of the noise elements, but for those that wrap what the page is about."""
@@ -207,13 +261,17 @@ class _Page:
         whole = [n for n in range(count) if self.names[n] in _WHOLE and n not in self.named and words[n]]
         largest = max(whole, key=lambda n: words[n], default=0)
         mains = [n for n in whole if self.names[n] == "main"]
+        above, held = [0] * count, set(whole)
+        for node in range(1, count):
+            above[node] = above[self.parents[node]] + (self.parents[node] in held)
         out, left, node = [], words[0], 1
         while node < count:
             kind, end = self.named.get(node, 0), ends[node]
             wraps = node < largest < end or bisect(mains, node) < bisect(mains, end - 1)
             if kind == 1 and not wraps or kind == 2 and wraps:
                 # without an article or main outside it, what holds most of the text is the page
-                wraps = 2 * words[node] > words[0] and all(node < n < end or n < node < ends[n] for n in whole)
+                inside = bisect(whole, end - 1) - bisect(whole, node)
+                wraps = 2 * words[node] > words[0] and inside + above[node] == len(whole)
             if kind and not wraps:
                 out.append((node, end))
                 left -= words[node]

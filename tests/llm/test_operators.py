@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -491,6 +492,46 @@ def test_main_text_keeps_wrappers_with_noise_names():
     assert main_text(f"<body><div>{p}</div><div id=comments>{p * 3}</div></body>") == want
 
 
+def test_main_text_by_density_alone():
+    from nestrank.llm.op8_density import main_text
+
+    body = "Plain words of an article that go on for quite a while, as articles do. " * 3
+    text = f"<p>{body}</p>" * 4
+    links = "".join(f"<span><a href=/{i}>Link number {i}</a></span>" for i in range(30))
+    want = "\n\n".join([body.strip()] * 4)
+    # no article, no name and no telling tag: only the densities part the text from the links
+    for page in (
+        f"<body><div>{links}</div><div>{text}</div><div>{links}</div></body>",
+        f"<body><div><div>{links}</div></div><div><div>{text}<div>{links}</div></div></div></body>",
+        f"<table><tr><td>{links}</td><td>{text}</td></tr></table>",
+    ):
+        assert main_text(page) == want
+    assert main_text(f"<div>{text}</div><div>{links}</div>".replace("<a ", "<u ").replace("</a>", "</u>")) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<div " * 200_000, "<a" * 500_000, '<a b="x" c=\'y\' ' * 60_000, '<a title="x ' * 80_000 + ">", "<a '\"" * 200_000 + ">",
+    "<p>" + "<b>" * 150_000 + "<div>x" * 80_000, "<td><div>" + "<b>" * 150_000 + "<tr></tr>" * 50_000,
+    "<b>" * 100_000 + "</i>" * 100_000, "<article>" * 30_000 + "x" + "<form>" * 30_000 + "word " * 1000,
+    "<form>" * 50_000 + "y" * 50 + "<article>y</article>" * 25_000, "&#" + "1" * 1_000_000 + ";", "&" * 1_000_000, "<!--" * 250_000,
+], ids=lambda page: page[:12])
+def test_main_text_of_long_pages_is_linear(page):
+    from nestrank.llm.op8_density import main_text
+
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 10  # minutes to hours, were it quadratic
+
+
+def test_main_text_of_unclosed_tags():
+    from nestrank.llm.op8_density import main_text
+
+    assert main_text("<p>a < b and <div c") == "a < b and <div c"
+    assert main_text("<p title='x>y'>one</p><p title='>two</p>") == "one\n\n<p title='>two"
+    assert main_text('<p>1 <a b="c>2</p><p>3</p>') == '1 <a b="c>2\n\n3'
+    assert main_text("&#0000065;&#99999999999;&#x41;") == "A\ufffdA"
+
+
 # pipeline
 
 
