@@ -49,6 +49,21 @@ ALPHABETS = {
 LENGTH_BANDS = (32, 48, 96)
 BINS = 1200  # of log10 p, a hundredth each
 ALPHA = 0.01
+PIECE = 256  # spans that one growing array holds
+SPAN = "struct<start:bigint,end:bigint,hit:string>"
+
+
+def _pieces(items: Column, use) -> Column:
+    """``use`` of each run of ``PIECE`` items, in order: arrays that grow stay short."""
+    def cut(all_items: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(PIECE))
+        return F.transform(starts, lambda at: use(F.slice(all_items, at, F.lit(PIECE))))
+
+    return _let(items, cut)
+
+
+def _empty(kind: str) -> Column:
+    return F.expr("array()").cast(f"array<{kind}>")
 
 
 def _found(text: Column, pattern: str, possible: Column) -> Column:
@@ -56,24 +71,39 @@ def _found(text: Column, pattern: str, possible: Column) -> Column:
 
     The pieces between the matches and the matches themselves give the positions, in code points.
     """
-    pattern_lit = F.lit(pattern)
-    empty = F.expr("array()").cast("array<struct<start:bigint,end:bigint,hit:string>>")
+    none = _empty(SPAN)
     between = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, pattern_lit, F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
+        start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
         return F.struct(
             end.alias("at"),
             F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"),
         )
 
+    def local(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)
+
+    def moved(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def placed(parts: Column) -> Column:
+        shifts = F.aggregate(
+            F.transform(parts, lambda p: p["at"]),
+            F.struct(F.lit(0).cast("long").alias("at"), _empty("bigint").alias("out")), moved, lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(parts, shifts, lambda p, by: F.transform(
+            p["out"],
+            lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["hit"].alias("hit")),
+        )))
+
     zipped = F.zip_with(
-        F.slice(between, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit"))
+        F.slice(between, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("gap"), h.alias("hit"))
     )
-    spans = F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(possible, spans).otherwise(empty)
+    spans = _let(zipped, lambda z: _let(_pieces(z, local), placed))
+    return F.when(possible, spans).otherwise(none)
 
 
 def _upper(z: Column) -> Column:
@@ -194,11 +224,22 @@ def _mixed(x: Column) -> Column:
     return x["hit"].rlike("[0-9]") | (x["hit"].rlike("[A-Z]") & x["hit"].rlike("[a-z]"))
 
 
-def _outside(x: Column) -> Column:
-    """Runs of 20 or more characters of the candidate ``x`` outside the base spans."""
+def _outside(x: Column, base: Column) -> Column:
+    """Runs of 20 or more characters of the candidate ``x`` outside the base spans.
+
+    ``base`` holds pieces of the sorted base spans, each with the range that it covers.
+    """
     def overlaps(b: Column) -> Column:
         return (b["start"] < x["end"]) & (x["start"] < b["end"])
 
+    def cut(near: Column) -> Column:
+        return F.when(F.size(near) > 0, _remaining(x, near)).otherwise(F.array(x))
+
+    near = F.flatten(F.transform(F.filter(base, overlaps), lambda p: F.filter(p["spans"], overlaps)))
+    return _let(near, cut)
+
+
+def _remaining(x: Column, near: Column) -> Column:
     def step(acc: Column, b: Column) -> Column:
         gap = F.struct(acc["at"].alias("start"), b["start"].alias("end"))
         return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
@@ -207,8 +248,8 @@ def _outside(x: Column) -> Column:
         return F.substring(x["hit"], (at - x["start"] + 1).cast("int"), F.lit(1)).rlike("[/_+=-]").cast("int")
 
     gaps = F.aggregate(
-        F.filter("_base", overlaps),
-        F.struct(x["start"].alias("at"), F.expr("array()").cast("array<struct<start:bigint,end:bigint>>").alias("out")),
+        near,
+        F.struct(x["start"].alias("at"), _empty("struct<start:bigint,end:bigint>").alias("out")),
         step,
         lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x["end"].alias("end")))),
     )
@@ -219,18 +260,17 @@ def _outside(x: Column) -> Column:
             (g["end"] - F.when(g["end"] < x["end"], joiner(g["end"] - 1)).otherwise(0)).alias("end"),
         ),
     )
-    runs = F.transform(
+    return F.transform(
         F.filter(trimmed, lambda g: g["end"] - g["start"] >= 20),
         lambda g: F.struct(
             g["start"].alias("start"), g["end"].alias("end"),
             F.substring(x["hit"], (g["start"] - x["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")).alias("hit"),
         ),
     )
-    return F.when(F.exists("_base", overlaps), runs).otherwise(F.array(x))
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` (kind, start, end) and ``_tokens`` (start, end, encoding, size, logp)."""
+    """``docs``, which has none of these columns, with ``_base`` (kind, start, end) and ``_tokens`` (start, end, encoding, size, logp)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     assign = F.filter(
         _found(text, ASSIGN, text.rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")),
@@ -246,8 +286,14 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
 
     base = F.array_sort(F.concat(tagged(assign, 0), tagged(access, 1), tagged(hexes, 2)))
+    covered = _pieces(F.col("_base"), lambda part: F.struct(
+        F.array_min(F.transform(part, lambda b: b["start"])).alias("start"),
+        F.array_max(F.transform(part, lambda b: b["end"])).alias("end"),
+        part.alias("spans"),
+    ))
+    runs = _let(covered, lambda pieces: F.flatten(F.transform("_found", lambda x: _outside(x, pieces))))
     return docs.withColumn("_base", base).withColumn("_found", tokens).withColumn(
-        "_runs", F.filter(F.flatten(F.transform("_found", _outside)), _mixed)
+        "_runs", F.filter(runs, _mixed)
     ).withColumn(
         "_tokens",
         F.filter(
@@ -297,38 +343,55 @@ def _random_spans(bounds: dict[tuple[str, int], float]) -> Column:
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """(id, base, spans) per row: sorted arrays of struct<start, kind, end>; kind indexes KINDS."""
-    found = staged(scanned(docs.select(id_col, text_col), text_col).drop(text_col), "secrets")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = staged(scanned(own).drop("text"), "secrets")
     extra = _random_spans(rejection_bounds(found, alpha))
-    return found.select(id_col, F.col("_base").alias("base"), F.array_sort(F.concat("_base", extra)).alias("spans"))
+    return found.select(F.col("id").alias(id_col), F.col("_base").alias("base"), F.array_sort(F.concat("_base", extra)).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``; every secret in ``text_col`` gives way to ``mark``.
 
-    Texts without a secret, null among them, stay as they are.
+    Texts without a secret, null among them, stay as they are. Other columns pass in one struct, so
+    none of them can clash with a name used here.
     """
-    names = docs.columns
-    found = staged(scanned(docs.select(text_col), text_col).select("_tokens"), "secret-tests")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(True).alias("alone")]
+    own = docs.select(F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = staged(scanned(own), "secret-tests")
     extra = _random_spans(rejection_bounds(found))
     spans = F.array_sort(F.concat("_base", extra))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"),
+    cleaned = F.when(F.size("spans") > 0, _redacted(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
+    found = found.select("row", "text", spans.alias("spans")).select("row", cleaned.alias("cleaned"))
+    return found.select(*[(F.col("cleaned") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with every union of overlapping sorted spans as one ``mark``, a piece of spans at a time."""
+    def ahead(acc: Column, part: Column) -> Column:
+        ends = F.greatest(acc["at"], F.array_max(F.transform(part, lambda x: x["end"])))
+        return F.struct(ends.alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def cleaned(part: Column, at: Column) -> Column:
+        # What lies between the ends of the spans before this piece and the start of its last span.
+        inner = F.substring(text, (at + 1).cast("int"), (F.element_at(part, -1)["start"] - at).cast("int"))
+
+        def step(acc: Column, x: Column, inner: Column) -> Column:
+            kept = F.substring(inner, (acc["at"] - at + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+            return F.struct(
+                F.greatest(acc["at"], x["end"]).alias("at"),
+                F.when(x["start"] >= acc["at"], F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            )
+
+        return _let(inner, lambda i: F.aggregate(
+            part, F.struct(at.alias("at"), F.lit("").alias("out")), lambda acc, x: step(acc, x, i), lambda acc: acc["out"]
+        ))
+
+    def joined(parts: Column) -> Column:
+        starts = F.aggregate(
+            parts, F.struct(F.lit(0).cast("long").alias("at"), _empty("bigint").alias("out")), ahead, lambda acc: acc["out"]
         )
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        rest = F.substring(text, (last + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.zip_with(parts, starts, cleaned), ""), rest)
 
-    cleaned = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))),
-    )
-    return (
-        scanned(docs, text_col)
-        .withColumn("_spans", spans)
-        .withColumn(text_col, F.when(F.size("_spans") > 0, cleaned).otherwise(F.col(text_col)))
-        .select(*names)
-    )
+    return _let(_pieces(spans, lambda part: part), joined)
