@@ -389,24 +389,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Rows of ``docs`` that stay, with all their columns: the smallest id of each component.
 
     Where an id stands on different texts, each text is judged by itself. At 80 percent a pair shares
-    no bucket with probability (1 - 0.8^7)^50 < 1e-5.
+    no bucket with probability (1 - 0.8^7)^50 < 1e-5. The columns of ``docs`` pass in one struct, so
+    none of them can clash with a name used here.
     """
     marks = staged(
         _labelled(docs, id_col, text_col, percent)
-        .select(F.col("id").alias("_keep"), F.col("digest").alias("_digest"), "kept").distinct(),
+        .select(F.col("id").alias("mark_id"), F.col("digest").alias("mark_digest"), "kept").distinct(),
         "marks",
     )
-    ids = marks.groupBy("_keep").agg(F.min("kept").alias("all"), F.max("kept").alias("some"))
-    same = docs[id_col].eqNullSafe(F.col("_keep"))
-    stay = docs.join(ids.where("all"), same, "left_semi")
-    mixed = staged(ids.where("some and not all").select("_keep"), "mixed")
-    if mixed.isEmpty():
-        return stay
-    texts_of = docs.join(mixed, same, "left_semi").withColumn(
-        "_own", F.arrow_udf(_digests, "binary")(F.col(text_col).cast("string"))
-    )
-    good = marks.where("kept").join(mixed, "_keep", "left_semi")
-    parted = texts_of.join(
-        good, texts_of[id_col].eqNullSafe(good["_keep"]) & texts_of["_own"].eqNullSafe(good["_digest"]), "left_semi"
-    )
-    return stay.unionByName(parted.select(*docs.columns))
+    ids = marks.groupBy("mark_id").agg(F.min("kept").alias("whole"), F.max("kept").alias("some"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).cast("string").alias("own_text"))
+    same = F.col("own_id").eqNullSafe(F.col("mark_id"))
+    stay = rows.join(ids.where("whole"), same, "left_semi").select("row")
+    mixed = staged(ids.where("some and not whole").select("mark_id"), "mixed")
+    if not mixed.isEmpty():
+        parted = rows.join(mixed, same, "left_semi").withColumn("own_digest", F.arrow_udf(_digests, "binary")("own_text"))
+        good = marks.where("kept").join(mixed, "mark_id", "left_semi")
+        own = same & F.col("own_digest").eqNullSafe(F.col("mark_digest"))
+        stay = stay.union(parted.join(good, own, "left_semi").select("row"))
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

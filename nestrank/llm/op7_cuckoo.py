@@ -175,15 +175,26 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def live_groups(digests: DataFrame) -> DataFrame:
     """(key, keep_id, group_size) of every live digest, through the sharded index.
 
-    ``digests`` (id, key) may carry ``delta`` (+1 insert, -1 delete): a digest whose changes
-    cancel is deleted from the index. ``keep_id`` is the largest id seen with the digest. Shards
-    follow the shuffle partitions, so a shard's index grows with the table over their number.
+    ``digests`` (id, key) may carry ``delta`` (+1 insert, -1 delete): a digest whose changes cancel
+    is deleted from the index, and an id whose changes cancel (or of which more was deleted than
+    inserted) is no keeper; ``keep_id`` is the largest id left. Shards follow the shuffle partitions,
+    so a shard's index grows with the table over their number.
     """
     kind = digests.schema["id"].dataType.simpleString()
-    delta = F.col("delta").cast("long") if "delta" in digests.columns else F.lit(1).cast("long").alias("delta")
+    rows = digests.select("key", "id", F.lit(1).cast("long").alias("delta"))
+    if "delta" in digests.columns:
+        delta = F.col("delta").cast("long")
+        rows = (
+            digests.groupBy("key", "id")
+            .agg(F.sum(F.greatest(delta, F.lit(0))).alias("put"), F.sum(F.least(delta, F.lit(0))).alias("gone"))
+            .select(
+                "key", F.when(F.col("put") + F.col("gone") > 0, F.col("id")).alias("id"),
+                F.explode(F.array("put", "gone")).alias("delta"),
+            )
+            .where("delta != 0")
+        )
     return (
-        digests.select("key", "id", delta)
-        .mapInArrow(_combined, f"key binary, id {kind}, delta long")
+        rows.mapInArrow(_combined, f"key binary, id {kind}, delta long")
         .repartition("key")
         .mapInArrow(_shard, f"key binary, keep_id {kind}, group_size long")
     )
@@ -206,13 +217,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Rows of ``docs`` that stay, with all their columns; one row of each group of equal texts.
 
     Rows are found again by id and digest, so an id that repeats with another text does no harm,
-    and a row that repeats as a whole stays once.
+    and a row that repeats as a whole stays once. The columns of ``docs`` pass in one struct, so none
+    of them can clash with a name used here.
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     digest = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), upper, lower), 256)
     marks = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")
+        F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")
     )
-    rows = docs.withColumn("_sha", digest)
-    same = rows[id_col].eqNullSafe(marks["_id"]) & (rows["_sha"] == marks["_digest"])
-    return rows.join(marks.distinct(), same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), digest.alias("own_sha"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha"))
+    stay = rows.join(marks.distinct(), same, "left_semi").dropDuplicates(["own_id", "own_sha"])
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

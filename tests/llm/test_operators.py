@@ -82,6 +82,41 @@ def test_live_groups_with_deletions(spark):
     assert sorted((bytes(r.key)[:1], r.group_size) for r in got) == [(b"a", 2), (b"c", 1)]
 
 
+def test_live_groups_keeper_after_deletion(spark):
+    """Random inserts and deletes over several partitions against a plain count."""
+    from nestrank.llm.op7_cuckoo import live_groups
+
+    rng, rows = random.Random(8), [(1, b"a" * 40, 1), (9, b"a" * 40, 1), (9, b"a" * 40, -1)]
+    for _ in range(600):
+        row = (rng.randrange(12) or None, bytes([rng.randrange(98, 120)]) * 40)
+        rows += [(*row, 1)] + [(*row, -1)] * rng.randrange(2)
+    rng.shuffle(rows)
+    want = {}
+    for key in {k for _, k, _ in rows}:
+        net = collections.Counter()
+        for i, k, d in rows:
+            net[i] += d * (k == key)
+        if sum(net.values()):
+            want[key] = (max((i for i, n in net.items() if n > 0 and i is not None), default=None), sum(net.values()))
+    changes = spark.createDataFrame(rows, "id long, key binary, delta int").repartition(5)
+    assert {bytes(r.key): (r.keep_id, r.group_size) for r in live_groups(changes).collect()} == want and want[b"a" * 40] == (1, 1)
+
+
+def test_dedup_with_clashing_columns(spark):
+    from nestrank.llm.op7_cuckoo import drop_duplicates
+    from nestrank.llm.op10_setsketch import drop_near_duplicates
+
+    names = ["_sha", "_id", "_digest", "_keep", "_own", "row", "own_id", "own_sha", "kept_id", "kept_sha", "mark_id", "own_text", "kept", "key", "id", "a.b"]
+    kinds = "doc_id long, " + ", ".join(f"`{n}` string" for n in names) + ", text string"
+    one, two = (" ".join(shuffled_words(60, k)) for k in (1, 2))
+    rows = [(1, *names, one), (2, *names, one), (3, *names, two), (3, *names, one + " tail"), (4, *names, None)]
+    docs = spark.createDataFrame(rows, kinds)
+    exact, near = drop_duplicates(docs), drop_near_duplicates(docs)
+    assert exact.columns == near.columns == docs.columns
+    assert sorted(map(str, map(tuple, exact.collect()))) == sorted(map(str, rows[1:]))
+    assert sorted(map(str, map(tuple, near.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+
+
 # near dedup
 
 
@@ -254,6 +289,37 @@ def test_secrets_joined_to_base_spans(spark):
     assert sum(texts[i] == f"é [SECRET]{'/_-+='[i % 5]}[SECRET] end" for i in want if i % 3 < 2) >= 18
 
 
+def test_secrets_of_long_texts(spark):
+    """Spans past the first piece of 256 stand where they should, and the work stays in proportion."""
+    from nestrank.llm.op9_random import redact_secrets, secret_spans
+
+    rng = random.Random(4)
+    parts = ["AKIA%s/%s" % ("".join(rng.choice("ABCDEFGH2345") for _ in range(16)), "x" * (i % 3)) if i % 2
+             else "é %064x" % rng.getrandbits(256) for i in range(6000)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, "token=abcdefgh" * 700)], "doc_id long, text string")
+    found = {r.doc_id: r.base for r in secret_spans(docs).collect()}
+    want = sorted([(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{16,}", text)]
+                  + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)])
+    assert [tuple(x) for x in found[1]] == want and len(want) == 6000
+    clean = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert clean[1] == re.sub("AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", "[SECRET]", text)
+    assert clean[2] == "[SECRET]" or "abcdefgh" not in clean[2]
+
+
+def test_secrets_with_clashing_columns(spark):
+    from nestrank.llm.op9_random import redact_secrets
+
+    names = ["_base", "_found", "_covered", "_runs", "_tokens", "_spans", "spans", "row", "id", "kind", "a.b"]
+    kinds = "doc_id long, " + ", ".join(f"`{n}` string" for n in names) + ", text string"
+    docs = spark.createDataFrame([(1, *names, "password=abcdef1"), (2, *names, None)], kinds)
+    got = redact_secrets(docs).orderBy("doc_id")
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [(1, *names, "[SECRET]"), (2, *names, None)]
+    only = redact_secrets(docs.select("text")).collect()
+    assert sorted(r.text or "" for r in only) == ["", "[SECRET]"]
+
+
 def test_secrets_of_empty_table(spark):
     from nestrank.llm.op9_random import redact_secrets, secret_spans
 
