@@ -9,10 +9,11 @@ the solver sees:
 * multiplicative weights: each length has a price, its size times a factor that falls
   exponentially with the share of its count covered so far; a knapsack dynamic program prices the
   best configuration, which then takes a step bounded by its scarcest length,
-* rounding: whole multiples of the configurations that fill their sequence are taken while
-  counts last; what is left is placed by the same dynamic program under the remaining counts,
-  largest length first, each configuration as often as the counts allow, so every step uses up
-  a length.
+* rounding: the amounts of all configurations are cut to whole numbers and taken while counts
+  last; what is left is placed by the same dynamic program under the remaining counts, largest
+  length first, each configuration as often as the counts allow, so every step uses up a length.
+  A second rounding takes only configurations that leave at most a thousandth of their sequence
+  free. The plan with fewer sequences is used. Both run at every size of the table.
 
 Placing is distributed: a piece's rank among its length is its rank in its task plus the counts
 of the tasks before; the plan (bounded by ``capacity``, not by the table) maps rank intervals to
@@ -90,21 +91,14 @@ def fill(left: np.ndarray, first: int, capacity: int) -> list[int]:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Configurations and how often each is used; together they hold exactly the histogram."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, count in histogram.items():
-        left[length] = count
-    plan: Plan = []
-    if left[capacity]:
-        plan.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
+def program(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], float]]:
+    """Configurations and their fractional amounts, largest first; no length is used more often than it is there."""
     need = left.astype(float)
     sizes = np.arange(capacity + 1, dtype=float)
     absent = need == 0
     covered = np.zeros(capacity + 1)
     amounts: dict[tuple[int, ...], float] = {}
-    for _ in range(MAX_STEPS if need.sum() > capacity else 0):
+    for _ in range(MAX_STEPS if left.any() else 0):
         low = covered[~absent].min()
         if low >= 1:
             break
@@ -114,12 +108,18 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         step = STEP * float((need[lengths] / uses).min())
         amounts[config] = amounts.get(config, 0.0) + step
         covered[lengths] += step * uses / need[lengths]
-    over = max(1.0, covered.max())  # scaled so that no length is used more often than it is there
-    for config, amount in sorted(amounts.items(), key=lambda x: -x[1]):
-        if capacity - sum(config) > capacity // 1000:  # leaves room that the last step may still use
+    over = max(1.0, covered.max())
+    return [(config, amount / over) for config, amount in sorted(amounts.items(), key=lambda x: -x[1])]
+
+
+def rounded(amounts: list[tuple[tuple[int, ...], float]], left: np.ndarray, capacity: int, spare: int) -> Plan:
+    """Whole numbers of the configurations with at most ``spare`` places free, then a fill of what is left."""
+    left, plan = left.copy(), []
+    for config, amount in amounts:
+        if capacity - sum(config) > spare:
             continue
         lengths, uses = np.unique(config, return_counts=True)
-        times = min(int(amount / over), int((left[lengths] // uses).min()))
+        times = min(int(amount), int((left[lengths] // uses).min()))
         if times:
             plan.append((config, times))
             left[lengths] -= times * uses
@@ -132,6 +132,21 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
+def sequences(plan: Plan) -> int:
+    return sum(times for _, times in plan)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Configurations and how often each is used; together they hold exactly the histogram."""
+    left = np.zeros(capacity + 1, np.int64)
+    for length, count in histogram.items():
+        left[length] = count
+    whole: Plan = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    amounts = program(left, capacity)
+    return whole + min((rounded(amounts, left, capacity, spare) for spare in (capacity // 1000, capacity)), key=sequences)
+
+
 class Placement:
     """Rank intervals of each length and the sequences and offsets they map to."""
 

@@ -451,6 +451,38 @@ def test_solver_covers_the_histogram():
     assert sum(t for _, t in plan) <= 1.01 * volume
 
 
+def test_solver_reaches_the_optimum_of_small_histograms():
+    from nestrank.llm.op3_packing import program, sequences, solve
+
+    def optimum(items, capacity):
+        best = len(items)
+
+        def place(at, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if at == len(items):
+                best = len(bins)
+                return
+            for k in {room: k for k, room in enumerate(bins) if room >= items[at]}.values():
+                place(at + 1, [room - items[at] * (k == n) for n, room in enumerate(bins)])
+            place(at + 1, [*bins, capacity - items[at]])
+
+        place(0, [])
+        return best
+
+    rng = random.Random(3)
+    for _ in range(150):
+        capacity = rng.choice((12, 20, 30))
+        items = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 10))), reverse=True)
+        assert sequences(solve(collections.Counter(items), capacity)) == optimum(items, capacity), items
+    left = np.zeros(1025, np.int64)
+    left[[410, 350, 340, 300, 260]] = 2, 4, 3, 5, 1  # the program runs on a handful of pieces too
+    amounts = program(left, 1024)
+    used = sum(amount * np.bincount(config, minlength=1025) for config, amount in amounts)
+    assert amounts and (used <= left + 1e-9).all() and all(sum(config) <= 1024 for config, _ in amounts)
+
+
 # toxicity
 
 
